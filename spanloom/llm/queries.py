@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import chunked_bpe
+
+    return chunked_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op4_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import pii
 
