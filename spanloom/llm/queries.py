@@ -16,6 +16,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import fingerprint
+
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import chunked_bpe
 
