@@ -1,13 +1,13 @@
 """Quartile bucket digests of documents.
 
-Every window of five bytes of a text gives six triplets; each is hashed into one of
+Every window of twelve bytes of a text gives six triplets; each is hashed into one of
 ``BUCKETS`` counters. A digest holds the length (its logarithm), the quartiles of the counts
 relative to the third one, and for each bucket the quarter of the counts that its own
 lies in (two bits). Digests of similar texts differ in few buckets, whatever the
 positions. ``likeness`` turns the sum of bounded differences into a number from 0 to 1.
 
-Edge cases: a null text is an empty one. Texts under five bytes are counted as
-if followed by zero bytes. Equal texts have equal digests and a likeness of 1. With
+Edge cases: a null text is an empty one. Texts shorter than a window are
+counted as if followed by zero bytes. Equal texts have equal digests and a likeness of 1. With
 one document only, the next document is the document itself. Documents are ordered by
 descending doc_id, null ids last, rows that share an id by their text.
 """
@@ -29,8 +29,9 @@ from spanloom.llm.common import partitions
 #: Counters of a digest (a power of two) and what a bucket, a quartile ratio and a step of length may add to a difference at most.
 BUCKETS = 512
 BUCKET_MOST, RATIO_MOST, LENGTH_MOST = 6, 12, 48
-#: Offsets in a window of five bytes (fixed values).
-TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
+#: Bytes of a window, and the triplets taken from it: wide ones tell words apart, where narrow ones only tell languages.
+WINDOW = 12
+TRIPLETS = ((0, 4, 9), (0, 5, 11), (0, 3, 10), (0, 6, 11), (0, 5, 10), (0, 7, 11))
 _MIX = tuple(np.uint32((0x9E3779B1 * (2 * k + 1)) & 0xFFFFFFFF) for k in range(len(TRIPLETS)))
 _SHIFT = np.uint32(32 - int(math.log2(BUCKETS)))
 #: A difference at which likeness is 0.
@@ -41,8 +42,8 @@ def counts(data: bytes) -> np.ndarray:
     """Bucket counts of all triplets of a text's bytes."""
     if not data:
         return np.zeros(BUCKETS, np.int64)
-    raw = np.frombuffer(data if len(data) >= 5 else data.ljust(5, b"\0"), np.uint8).astype(np.uint32)
-    n = len(raw) - 4
+    raw = np.frombuffer(data.ljust(WINDOW, b"\0"), np.uint8).astype(np.uint32)
+    n = len(raw) - WINDOW + 1
     total = np.zeros(BUCKETS, np.int64)
     for (a, b, c), mix in zip(TRIPLETS, _MIX, strict=True):
         h = raw[a : a + n] | raw[b : b + n] << np.uint32(8) | raw[c : c + n] << np.uint32(16)
