@@ -40,6 +40,12 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable, in the order of the operators' numbers."""
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
