@@ -46,6 +46,12 @@ def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url", "html"))
 
 
+def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import knn
+
+    return knn.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=50, k=5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable, in the order of the operators' numbers."""
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
