@@ -123,8 +123,8 @@ def _solve(k: int):
         found: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
             own = left["query_id"].to_numpy()
-            q, x = (_matrix(t["v"].combine_chunks()) for t in (left, right))
-            found = [(int(own[r]), i, s) for r, i, s in _best(_scores(q, x), right["vec_id"].to_numpy(), own, k)]
+            q, x = (_matrix(t.combine_chunks()) for t in (left["v"], right["x_v"]))
+            found = [(int(own[r]), i, s) for r, i, s in _best(_scores(q, x), right["x_vec_id"].to_numpy(), own, k)]
         cols = list(zip(*found, strict=True)) if found else [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -140,8 +140,8 @@ def _join(queries: DataFrame, data: DataFrame, blocks: DataFrame, k: int) -> Dat
     left = left.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1))).select("cell", "b", "q", "query_id", "v")
     right = data.join(small, "cell").withColumn("b", F.pmod(F.xxhash64("vec_id", "v"), "n_b").cast("int"))
     right = right.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).select("cell", "b", "q", "vec_id", "v")
-    keys = ["cell", "b", "q"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
+    right = right.toDF(*(f"x_{c}" for c in right.columns))  # both sides stem from one table: other names tell them apart
+    return left.groupBy("cell", "b", "q").cogroup(right.groupBy("x_cell", "x_b", "x_q")).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
 
 
 def _top(candidates: DataFrame, k: int) -> DataFrame:
