@@ -40,6 +40,12 @@ def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), _tokenizer("piece_bpe_32k.model"), 4096)
 
 
+def op7_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import neardup
+
+    return neardup.assign(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, percent=85, rows=7)
+
+
 def op8_redirect_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import url_filter
 
