@@ -58,6 +58,12 @@ def op9_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=50, k=5)
 
 
+def op10_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import langid
+
+    return langid.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to callable, in the order of the operators' numbers."""
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
