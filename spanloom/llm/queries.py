@@ -22,6 +22,12 @@ def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_rake_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import mixing
+
+    return mixing.weights(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+
+
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import chunked_bpe
 
@@ -34,6 +40,12 @@ def op4_pii_anchor_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_pairwise_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanloom.llm import gam
+
+    return gam.score(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import prefix_tokens
 

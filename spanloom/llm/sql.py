@@ -16,6 +16,51 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+def rake_sql(rounds: int = 10, power: float = 0.7, keep: float = 0.8) -> str:
+    """Raking as a chain of steps: every step scales the cells to the targets of one dimension."""
+    steps = [
+        """marked AS (
+  SELECT doc_id, text, source, lang,
+    CASE WHEN contains(text, ' | ') THEN 'tabular' WHEN coalesce(length(text), 0) < 600 THEN 'brief'
+         WHEN coalesce(length(text), 0) < 3000 THEN 'article' ELSE 'long' END AS topic,
+    CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4.0) AS BIGINT) AS n_tokens
+  FROM documents
+)""",
+        "cells AS (SELECT source, lang, topic, sum(n_tokens) AS n FROM marked GROUP BY ALL)",
+    ]
+    for d in ("source", "lang", "topic"):
+        steps.append(f"of_{d} AS (SELECT {d} AS v, pow(CAST(sum(n) AS DOUBLE), {power}) AS raw FROM cells GROUP BY 1)")
+        steps.append(f"to_{d} AS (SELECT v, raw / (SELECT sum(raw) FROM of_{d}) AS t FROM of_{d})")
+    steps.append("w0 AS (SELECT source, lang, topic, n / (SELECT sum(n) FROM cells) AS share, n / (SELECT sum(n) FROM cells) AS w FROM cells)")
+    k = 0
+    for _ in range(rounds):
+        for d in ("source", "lang", "topic"):
+            steps.append(
+                f"m{k} AS MATERIALIZED (SELECT {d} AS v, sum(w) AS m FROM w{k} GROUP BY 1), "
+                f"w{k + 1} AS MATERIALIZED (SELECT source, lang, topic, share, CASE WHEN m > 0 THEN w * t / m ELSE 0.0 END AS w FROM w{k} "
+                f"JOIN m{k} ON w{k}.{d} IS NOT DISTINCT FROM m{k}.v JOIN to_{d} ON w{k}.{d} IS NOT DISTINCT FROM to_{d}.v)"
+            )
+            k += 1
+    steps.append(f"factors AS MATERIALIZED (SELECT *, CASE WHEN share > 0 THEN w / share ELSE 1.0 END AS factor FROM w{k})")
+    steps.append(
+        f"""levels AS (
+  SELECT a.factor, ({keep} - coalesce(sum(b.share), 0)) / ((SELECT sum(factor * share) FROM factors) - coalesce(sum(b.factor * b.share), 0)) AS level
+  FROM factors a LEFT JOIN factors b ON b.factor > a.factor GROUP BY a.factor
+), level AS (SELECT max(level) AS level FROM levels WHERE level >= 0 AND level * factor <= 1)"""
+    )
+    steps.append("probs AS (SELECT source, lang, topic, round(factor, 6) AS weight, round(CASE WHEN level IS NULL THEN 1.0 ELSE least(1.0, level * factor) END, 6) AS prob FROM factors, level)")
+    return (
+        "WITH "
+        + ",\n".join(steps)
+        + """
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.weight, p.prob,
+  CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.text, '')), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < p.prob AS kept
+FROM marked d JOIN probs p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic
+"""
+    )
+
+
 ORACLES: dict[str, str] = {
+    "op2_rake_mixing": rake_sql(),
     "op9_voronoi_knn": KNN,
 }
