@@ -5,7 +5,7 @@ only, so passages shared by documents give the same chunks wherever they stand.
 
 1. ``chunk_table``: chunk digests of every document, small rows without text.
 2. ``shared``: digests seen more than once, each with one home (document, place).
-3. The homes' chunks are encoded once and joined back to all that hold them.
+3. The homes' chunks are encoded once, where they are read, and joined to all that hold them.
 4. ``assemble``: each document takes its shared chunks' tokens, encodes the rest,
    and *repairs* every chunk border: the text between the last safe place before
    the border and the first after it is encoded again, widened by one safe place to
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ from spanloom.llm.common import cut, partitions
 
 #: Chunk sizes in bytes: no border before LEAST, one at MOST at the latest, one in 2**BITS places on average.
 LEAST, MOST, BITS = 96, 4096, 9
+#: Bits of the filter that finds the chunks' homes, at most (8 MB, broadcast).
+FILTER_BITS = 1 << 26
 _WINDOW = 32
 
 #: The pre-tokenizer's pattern (fixed value).
@@ -203,11 +206,30 @@ def _digests(data: bytes, edges: list[int]) -> list[bytes]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, version): rows that share a doc_id are told apart by a digest of their text."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
+    """(doc_id, text, key, version): key and version tell texts apart, whatever ids are null or repeated."""
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return kept.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("version", F.xxhash64("text"))
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
+def _packed(keyed: DataFrame) -> DataFrame:
+    """(doc_id, key, version, packed): texts compressed one by one, for the exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([squeeze(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "key", "version", "packed"])
+
+    return keyed.select("doc_id", "key", "version", "text").mapInArrow(run, "doc_id long, key long, version long, packed binary")
+
+
+def _unpacked(column) -> Iterator[str]:
+    expand = zstandard.ZstdDecompressor().decompress
+    for x in column:
+        yield expand(x.as_py()).decode()
+
+
+def chunk_table(keyed: DataFrame) -> DataFrame:
     """Digest, document and place of every chunk of documents that have more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,21 +246,56 @@ def chunk_table(docs: DataFrame) -> DataFrame:
             take = pa.array(origin, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(2).take(take), pa.array(place, pa.int32()), pa.array(digests, pa.binary())],
-                names=["doc_id", "version", "place", "digest"],
+                names=["key", "version", "place", "digest"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, version long, place int, digest binary")
+    return keyed.select("key", "text", "version").mapInArrow(run, "key long, version long, place int, digest binary")
+
 
+def _bits(keys: np.ndarray, versions: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """Three places in a filter of ``size`` bits (a power of two) for each chunk of a document: (3, n)."""
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + versions.astype(np.uint64) + places.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return np.stack([(x * np.uint64(2 * k + 3) >> np.uint64(30)) & np.uint64(size - 1) for k in range(3)])
+
+
+def home_filter(homes: DataFrame) -> np.ndarray:
+    """A filter over (key, version, place) that holds all of ``homes``: at most FILTER_BITS bits, whatever their number.
+
+    A full filter lets more chunks through than needed: they are encoded where they stand, as
+    the homes are, and do no harm.
+    """
+    n = homes.count()
+    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
 
-def _encode_homes(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path)
+        for batch in batches:
+            at = np.unique(_bits(*(c.to_numpy() for c in batch.columns), size))
+            masks = np.uint64(1) << (at & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
+
+    words = homes.select("key", "version", "place").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(np.uint64)
+
+
+def _encode_homes(path: str, held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, table = coder(path), held.value
         for batch in batches:
             digests, codes = [], []
-            for text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, version, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode()
                 edges = borders(data)
-                for k in sorted(set(places)):
+                n = len(edges) - 1
+                if n < 2:
+                    continue
+                at = _bits(np.full(n, key), np.full(n, version), np.arange(n), 64 * len(table))
+                hit = (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)
+                for k in np.flatnonzero(hit).tolist():
                     part = data[edges[k] : edges[k + 1]]
                     digests.append(hashlib.blake2b(part, digest_size=16).digest())
                     codes.append(np.asarray(c.plain(part.decode()), np.uint16 if len(c.width) <= 65536 else np.int32).tobytes())
@@ -253,7 +310,7 @@ def _encode_texts(path: str, with_ids: bool):
         kind = np.uint16 if len(c.width) <= 65536 else np.int32
         for batch in batches:
             rows = []
-            for text, shared in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, shared in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 known = {x["place"]: np.frombuffer(x["codes"], kind).astype(np.int64) for x in shared or ()}
                 ids = c.encode(text, known)
                 said = ",".join([c.name[i] for i in ids])
@@ -273,26 +330,16 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): n_tokens, digests of its ids and of the text decoded from them; ``with_ids`` adds ids."""
     keyed = _keyed(docs)
     chunks = cut(chunk_table(keyed))
-    # one exchange of the texts serves both the homes' encoding and the assembly
-    dealt = keyed.repartition(partitions(docs.sparkSession), "doc_id", "version")
-    shared = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "version", "place")).alias("home")).filter("n > 1")
-    homes = (
-        shared.select("home.*")
-        .groupBy("doc_id", "version")
-        .agg(F.collect_list("place").alias("places"))
-        .select(F.col("doc_id").alias("home_id"), F.col("version").alias("home_version"), "places")
-    )
-    at_home = F.col("doc_id").eqNullSafe(F.col("home_id")) & (F.col("version") == F.col("home_version"))
-    codes = dealt.join(homes, at_home).select("text", "places").mapInArrow(_encode_homes(path), "digest binary, codes binary").dropDuplicates(["digest"])
-    owned = (
-        chunks.join(codes, "digest")
-        .groupBy("doc_id", "version")
-        .agg(F.collect_list(F.struct("place", "codes")).alias("shared"))
-        .select(F.col("doc_id").alias("own_id"), F.col("version").alias("own_version"), "shared")
-    )
-    mine = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("version") == F.col("own_version"))
+    shared = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "version", "place")).alias("home")).filter("n > 1").select("digest", "home.*"))
+    held = docs.sparkSession.sparkContext.broadcast(home_filter(shared))
+    # homes are found and encoded where their documents are read: their texts do not move
+    codes = keyed.select("key", "version", "text").mapInArrow(_encode_homes(path, held), "digest binary, codes binary")
+    codes = codes.join(shared.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    # the one exchange of the texts, compressed
+    dealt = _packed(keyed).repartition(partitions(docs.sparkSession), "key", "version")
+    owned = chunks.join(codes, "digest").groupBy("key", "version").agg(F.collect_list(F.struct("place", "codes")).alias("shared"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return dealt.join(owned, mine, "left").select("doc_id", "text", "shared").mapInArrow(_encode_texts(path, with_ids), schema)
+    return dealt.join(owned, ["key", "version"], "left").select("doc_id", "packed", "shared").mapInArrow(_encode_texts(path, with_ids), schema)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "text") -> DataFrame:
