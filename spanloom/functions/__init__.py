@@ -1 +1 @@
-
+"""Column functions: no data, no session, only expressions."""

@@ -1 +1 @@
-
+"""Operators on span relations."""

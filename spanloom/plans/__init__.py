@@ -1 +1 @@
-
+"""Queries over whole tables, and their SQL."""

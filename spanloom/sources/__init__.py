@@ -1 +1 @@
-
+"""Where spans come from and where results go."""
