@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import fonts, text
-from spanloom.operators import lines
+from spanloom.functions import charmaps, fonts, text
+from spanloom.operators import jobs, layout, lines, links, paragraphs, translate
 from spanloom.plans import oracle
 from spanloom.sources import lift
 
@@ -125,6 +125,269 @@ def attach_math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.attach_math(lift.raw_spans(lift.documents(spark, sf_dir))).select("doc_id", "line_seq", "frag", "to_line", "to_part")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines(lift.lift(spark, sf_dir))
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.merged(paragraphs.grouped(_lines(spark, sf_dir)))
+
+
+@query
+def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines in groups."""
+    return paragraphs.grouped(_lines(spark, sf_dir)).select("doc_id", "line_no", "group_id", "mergeable")
+
+
+@query
+def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group's text as it is sent. The flagship query."""
+    return _paragraphs(spark, sf_dir).select("doc_id", "group_id", "n_lines", F.length("template").alias("n_chars"), "wire_text")
+
+
+@query
+def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Placeholders of lines masked."""
+    return _lines(spark, sf_dir).select("doc_id", "line_seq", "part", text.mask(F.col("template")).alias("wire_text"))
+
+
+@query
+def unmask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked lines, in capitals and with blanks added, back to placeholders."""
+    noisy = F.regexp_replace(F.upper(text.mask(F.col("template"))), "(XXXM[0-9]+XXX)", "  $1  ")
+    return _lines(spark, sf_dir).filter("n_math > 0").select("doc_id", "line_seq", "part", text.unmask(noisy).alias("t"))
+
+
+@query
+def term_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered replacements, on each document's beginning with two wrong terms added."""
+    wrong = F.array(*(F.lit(a) for a, _ in text.TERM_FIXES))
+    pick = lambda k: F.get(wrong, ((F.col("doc_id") * k) % len(text.TERM_FIXES)).cast("int"))
+    docs = lift.documents(spark, sf_dir).filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return docs.select("doc_id", text.fix_terms(F.concat(pick(1), F.lit(" "), F.col("text"), F.lit(" "), pick(7))).alias("t"))
+
+
+@query
+def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of paragraphs."""
+    return paragraphs.batches(_paragraphs(spark, sf_dir))
+
+
+def _cache(paras: DataFrame) -> DataFrame:
+    """A cache that earlier runs might have left: paragraphs of every third document, in capitals; a few of them failed."""
+    known = paras.filter("doc_id % 3 = 0").groupBy(translate.key(F.col("wire_text"), "fr", "en").alias("key")).agg(F.max("wire_text").alias("t"), F.max("doc_id").alias("d"))
+    return known.select("key", F.lit("fr").alias("source"), F.lit("en").alias("target"), F.upper("t").alias("raw"), F.when(F.col("d") % 7 == 0, "failed").otherwise("ok").alias("status"))
+
+
+@query
+def cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that the cache holds."""
+    p = _paragraphs(spark, sf_dir)
+    return translate.probe(p, _cache(p), "fr", "en")[0].select("doc_id", "group_id", "key", "raw")
+
+
+@query
+def cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs that it does not hold."""
+    p = _paragraphs(spark, sf_dir)
+    return translate.probe(p, _cache(p), "fr", "en")[1].select("doc_id", "group_id", "key")
+
+
+@query
+def lexicon_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs through the offline lexicon."""
+    return _paragraphs(spark, sf_dir).select("doc_id", "group_id", translate.lexicon(F.col("wire_text")).alias("raw"))
+
+
+@query
+def split_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paragraphs' translations split back to their lines."""
+    g = paragraphs.grouped(_lines(spark, sf_dir))
+    t = paragraphs.merged(g).select("doc_id", "group_id", translate.lexicon(F.col("template")).alias("translated"))
+    return paragraphs.split_back(g, t).select("doc_id", "line_no", "translated")
+
+
+@query
+def changed_lines_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of a page a translation changes."""
+    changed = text.strip(translate.lexicon(F.col("template"))) != text.strip(F.col("template"))
+    return _lines(spark, sf_dir).groupBy("doc_id", "page_idx").agg(F.count_if(changed).alias("n_changed"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lift.lift(spark, sf_dir).filter("NOT is_text")
+
+
+@query
+def math_char_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of mathematics, and of its words' letters, by every family's table."""
+    fam = fonts.family(F.col("font"))
+    m = _math(spark, sf_dir)
+    return m.select("doc_id", "line_seq", "span_no", fam.alias("family"), charmaps.map_text(F.col("text"), fam).alias("mapped"), charmaps.map_text(F.col("text"), F.lit("CMBX")).alias("bold"), charmaps.map_text(F.col("text"), F.lit("EUFM")).alias("fraktur"))
+
+
+@query
+def render_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How spans of mathematics are drawn."""
+    fam = fonts.family(F.col("font"))
+    return _math(spark, sf_dir).select("doc_id", "line_seq", "span_no", charmaps.route(F.col("text"), fam, fonts.family_style(fam)).alias("route"))
+
+
+@query
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as runs of text and placeholders."""
+    return layout.segment_rows(_lines(spark, sf_dir)).select("doc_id", "line_seq", "part", "seg_no", "kind", "seg")
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lift.lift(spark, sf_dir)
+    return layout.style_map(lines.lines(s).withColumn("translated", translate.lexicon(F.col("template"))), lines.style_runs(lines.line_parts(s)))
+
+
+@query
+def style_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The original's styles on the translation."""
+    return _mapped(spark, sf_dir)
+
+
+@query
+def style_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Style borders moved off brackets and labels."""
+    return layout.style_boundaries(_mapped(spark, sf_dir))
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.math_groups(lift.raw_spans(lift.documents(spark, sf_dir)))
+
+
+@query
+def stacked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that stand over each other."""
+    return layout.stacked_pairs(_groups(spark, sf_dir))
+
+
+@query
+def attached_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that belong to the letter before them."""
+    return layout.attached_scripts(_groups(spark, sf_dir))
+
+
+@query
+def pen_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each segment of a line begins."""
+    raw = lift.raw_spans(lift.documents(spark, sf_dir))
+    return layout.pen_advance(lines.lines(raw.filter("frag < 1000")), layout.math_groups(raw))
+
+
+@query
+def fraction_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of stacked groups."""
+    return layout.fraction_bars(_groups(spark, sf_dir))
+
+
+@query
+def whiteout_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes to clear."""
+    return layout.whiteout(_lines(spark, sf_dir), lift.PAGE_WIDTH)
+
+
+@query
+def font_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and baseline of a line, from its first span of visible text."""
+    return _lines(spark, sf_dir).select("doc_id", "line_seq", "part", "font_size", "baseline")
+
+
+@query
+def toc_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dots of contents lines."""
+    t = lift.toc_lines(lift.documents(spark, sf_dir)).select("doc_id", text.toc_content(F.col("template")).alias("content"), text.toc_page(F.col("template")).alias("page"), F.lit(72.0).alias("x0"), F.lit(500.0).alias("x1"))
+    return layout.toc_leaders(t)
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+
+
+def _extents(l: DataFrame) -> DataFrame:
+    """Extents of the rows that links stand in; some a row off, some missing."""
+    row = l.select("doc_id", "page_idx", F.col("y0")).distinct()
+    y = (F.col("y0") + 5).cast("int") + F.element_at(F.array(*map(F.lit, (0, 1, -1, 3))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return row.select("doc_id", "page_idx", y.alias("y"), F.lit(0).alias("ord"), F.lit(72.0).alias("orig_x0"), F.lit(472.0).alias("orig_x1"), F.lit(72.0).alias("new_x0"), F.lit(372.0).alias("text_end"))
+
+
+@query
+def link_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours and borders of links."""
+    l = _links(spark, sf_dir)
+    return links.fixed_borders(l, links.colours(l))
+
+
+@query
+def link_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extents of links' lines."""
+    l = _links(spark, sf_dir)
+    return links.with_extents(l, _extents(l)).select("doc_id", "link_idx", "orig_x0", "text_end")
+
+
+@query
+def link_reposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New rectangles of links."""
+    l = _links(spark, sf_dir)
+    hits = l.filter("link_idx % 2 = 0").select("doc_id", "page_idx", "text", F.col("link_idx").alias("hit_no"), (F.col("x0") + 25).alias("hx0"), (F.col("x1") + 25).alias("hx1"), F.col("y0").alias("hy0"))
+    return links.repositioned(l, _extents(l), hits, lift.PAGE_HEIGHT).select("doc_id", "link_idx", "rect")
+
+
+@query
+def links_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to put back."""
+    l = _links(spark, sf_dir)
+    return links.lost(l, l.filter("link_idx % 4 <> 0")).select("doc_id", "link_idx", "text")
+
+
+@query
+def text_under_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of the document of the same id under each link's rectangle."""
+    return links.under(_links(spark, sf_dir), lift.lift(spark, sf_dir)).select("doc_id", "link_idx", "text")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type")
+
+
+@query
+def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last state and progress of every job."""
+    return jobs.latest(jobs.log(_events(spark, sf_dir)))
+
+
+@query
+def job_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs past their time at the end of January."""
+    return jobs.expired(jobs.latest(jobs.log(_events(spark, sf_dir))), F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'")).select("job_id", "status")
+
+
+@query
+def job_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4: admission of submissions."""
+    return jobs.admission(_events(spark, sf_dir))
+
+
+@query
+def job_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to downloads of known and unknown jobs."""
+    e = _events(spark, sf_dir)
+    asked = e.select((F.col("user_id") + F.col("event_id") % 2 * 1_000_000).alias("job_id")).distinct()
+    return jobs.download(jobs.latest(jobs.log(e)), asked)
+
+
+@query
+def upload_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of uploads and names of results."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    name = F.concat(F.regexp_extract("url", "([^/?#]*)[^/]*$", 1), F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(""))
+    return p.select("page_id", jobs.acceptable(name, F.octet_length("html")).alias("refused"), jobs.output_name(name).alias("served_name"), jobs.output_name(name, "en").alias("file_name"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
