@@ -153,8 +153,8 @@ def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unmask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Masked lines, in capitals and with blanks added, back to placeholders."""
-    noisy = F.regexp_replace(F.upper(text.mask(F.col("template"))), "(XXXM[0-9]+XXX)", "  $1  ")
+    """Masked lines, their marks in small letters and with blanks added, back to placeholders."""
+    noisy = F.regexp_replace(text.mask(F.col("template")), "XXXM([0-9]+)XXX", "  xxxm$1xxx  ")
     return _lines(spark, sf_dir).filter("n_math > 0").select("doc_id", "line_seq", "part", text.unmask(noisy).alias("t"))
 
 
@@ -174,9 +174,9 @@ def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(paras: DataFrame) -> DataFrame:
-    """A cache that earlier runs might have left: paragraphs of every third document, in capitals; a few of them failed."""
+    """A cache that earlier runs might have left: paragraphs of every third document, marked; a few of them failed."""
     known = paras.filter("doc_id % 3 = 0").groupBy(translate.key(F.col("wire_text"), "fr", "en").alias("key")).agg(F.max("wire_text").alias("t"), F.max("doc_id").alias("d"))
-    return known.select("key", F.lit("fr").alias("source"), F.lit("en").alias("target"), F.upper("t").alias("raw"), F.when(F.col("d") % 7 == 0, "failed").otherwise("ok").alias("status"))
+    return known.select("key", F.lit("fr").alias("source"), F.lit("en").alias("target"), F.concat(F.lit("~"), F.col("t")).alias("raw"), F.when(F.col("d") % 7 == 0, "failed").otherwise("ok").alias("status"))
 
 
 @query

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from spanloom.functions.charmaps import TABLES
 from spanloom.functions.text import ENGLISH, TERM_FIXES
+from spanloom.operators.jobs import STATUS
+from spanloom.operators.translate import LEXICON
 
 S = "[ \\t\\n\\r\\f]"
 
@@ -55,7 +58,7 @@ SQL: dict[str, str] = {}
 
 def add(name: str, body: str, steps: str = "") -> None:
     """Registers ``body`` over the lift and further ``steps``."""
-    SQL[name] = "WITH " + LIFT.strip() + (",\n" + steps.strip() if steps else "") + "\n" + body.strip()
+    SQL[name] = "WITH RECURSIVE " + LIFT.strip() + (",\n" + steps.strip() if steps else "") + "\n" + body.strip()
 
 
 add("span_classify", "SELECT doc_id, page_idx, line_seq, span_no, is_text, style, family FROM styled")
@@ -200,3 +203,324 @@ FROM (
 """,
     FRAGS,
 )
+
+
+def _quoted(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def _strip(t: str) -> str:
+    return STRIP.format(t)
+
+
+def _lexicon(t: str) -> str:
+    cases = " ".join(f"WHEN {_quoted(a)} THEN {_quoted(b)}" for a, b in LEXICON.items())
+    return f"array_to_string(list_transform(string_split({t}, ' '), lambda w: CASE w {cases} ELSE w END), ' ')"
+
+
+def _fixed(t: str) -> str:
+    for a, b in TERM_FIXES:
+        t = f"replace({t}, {_quoted(a)}, {_quoted(b)})"
+    return t
+
+
+def _mask(t: str) -> str:
+    t = f"regexp_replace({t}, '\\{{M([0-9]+)\\}}', 'XXXM\\1XXX', 'g')"
+    t = f"regexp_replace({t}, '([a-zA-ZÀ-ÿ])(XXXM[0-9]+XXX)', '\\1 \\2', 'g')"
+    return f"regexp_replace({t}, '(XXXM[0-9]+XXX)([a-zA-ZÀ-ÿ])', '\\1 \\2', 'g')"
+
+
+def _unmask(t: str) -> str:
+    t = f"regexp_replace({t}, 'XXXM([0-9]+)XXX', '{{M\\1}}', 'gi')"
+    t = f"regexp_replace({t}, '[ \\t\\n\\r\\f]+(\\{{M[0-9]+\\}})[ \\t\\n\\r\\f]+', ' \\1 ', 'g')"
+    return _fixed(f"regexp_replace({t}, '[ \\t\\n\\r\\f]+(\\{{M[0-9]+\\}})-', ' \\1-', 'g')")
+
+
+def _mapped(t: str, family: str) -> str:
+    pairs = [(a, b) for a, b in TABLES[family].items() if ord(a) >= 32]
+    return f"translate({t}, {_quoted(''.join(a for a, _ in pairs))}, {_quoted(''.join(b for _, b in pairs))})"
+
+
+MAPPED = "CASE family " + " ".join(f"WHEN '{f}' THEN {_mapped('text', f)}" for f in TABLES) + " ELSE text END"
+STYLED = "CASE WHEN family IN ('CMMI', 'CMBS', 'CMSY', 'CMEX', 'rsfs', 'EUFM') THEN 'math' WHEN family = 'CMBX' THEN 'bold' WHEN family IN ('CMR1', 'CMR5', 'CMR7', 'CMR8') THEN 'regular' END"
+VISIBLE = "regexp_replace(text, '[ \\t\\n\\r\\f]', '', 'g')"
+ROUTE = f"""CASE WHEN {STYLED} IS NULL THEN 'drop'
+  WHEN family IN ('rsfs', 'EUFM') AND {VISIBLE} <> '' THEN 'copy'
+  WHEN family = 'CMEX' AND translate({VISIBLE}, {_quoted("".join(a for a in TABLES["CMEX"] if ord(a) >= 32))}, '') <> '' THEN 'copy'
+  WHEN family = 'CMSY' AND contains({VISIBLE}, chr(824)) THEN 'copy'
+  WHEN {VISIBLE} = '' THEN 'blank' ELSE 'draw' END"""
+
+PARAS = (
+    LINES
+    + f""", ordered AS (
+  SELECT *, row_number() OVER w - 1 AS line_no,
+    NOT regexp_matches(template, '{LEADER}') AND font_style <> 'bold' AND first_size <= 11 AND n_math = 0 AS mergeable
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY line_seq, part)
+), marked AS (
+  SELECT *, CASE WHEN mergeable AND lag(mergeable) OVER w AND page_idx = lag(page_idx) OVER w AND abs(x0 - lag(x0) OVER w) < 20
+      AND y0 - lag(y1) OVER w < lag(first_size) OVER w AND abs(first_size - lag(first_size) OVER w) < 0.5 THEN 0 ELSE 1 END AS fresh
+  FROM ordered WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+), grouped AS (
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS BIGINT) AS group_id FROM marked
+), paras_ AS MATERIALIZED (
+  SELECT doc_id, group_id, count(*) AS n_lines, string_agg(template, ' ' ORDER BY line_no) AS template FROM grouped GROUP BY doc_id, group_id
+), sent AS (
+  SELECT *, {_mask("template")} AS wire_text FROM paras_
+)"""
+)
+add("paragraph_groups", "SELECT doc_id, line_no, group_id, mergeable FROM grouped", PARAS)
+add("paragraph_text", "SELECT doc_id, group_id, n_lines, length(template) AS n_chars, wire_text FROM sent", PARAS)
+add("mask_text", f"SELECT doc_id, line_seq, part, {_mask('template')} AS wire_text FROM lines", LINES)
+add(
+    "unmask_text",
+    f"""SELECT doc_id, line_seq, part, {_unmask("noisy")} AS t
+FROM (SELECT *, regexp_replace({_mask("template")}, 'XXXM([0-9]+)XXX', '  xxxm\\1xxx  ', 'g') AS noisy FROM lines WHERE n_math > 0)""",
+    LINES,
+)
+WRONG = "[" + ", ".join(_quoted(a) for a, _ in TERM_FIXES) + "]"
+SQL["term_fixes"] = f"""SELECT doc_id, {_fixed("raw")} AS t
+FROM (SELECT doc_id, ({WRONG})[doc_id % 54 + 1] || ' ' || text || ' ' || ({WRONG})[doc_id * 7 % 54 + 1] AS raw FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)"""
+add(
+    "greedy_batches",
+    "SELECT doc_id, group_id, batch_no FROM fold",
+    PARAS
+    + """, seqd AS MATERIALIZED (
+  SELECT doc_id, group_id, length(wire_text) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY group_id) AS k FROM sent
+), fold AS (
+  SELECT doc_id, k, group_id, CAST(0 AS BIGINT) AS batch_no, n AS size FROM seqd WHERE k = 1
+  UNION ALL
+  SELECT s.doc_id, s.k, s.group_id, CASE WHEN f.size >= 4800 THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN f.size >= 4800 THEN s.n ELSE f.size + s.n END
+  FROM fold f JOIN seqd s ON s.doc_id = f.doc_id AND s.k = f.k + 1
+)""",
+)
+CACHED = (
+    PARAS
+    + """, keyed AS (SELECT *, md5('fr' || chr(31) || 'en' || chr(31) || wire_text) AS key FROM sent
+), cache AS (
+  SELECT key, '~' || max(wire_text) AS raw, CASE WHEN max(doc_id) % 7 = 0 THEN 'failed' ELSE 'ok' END AS status FROM keyed WHERE doc_id % 3 = 0 GROUP BY key
+)"""
+)
+add("cache_hits", "SELECT doc_id, group_id, key, raw FROM keyed JOIN cache USING (key) WHERE status = 'ok'", CACHED)
+add("cache_misses", "SELECT doc_id, group_id, key FROM keyed WHERE key NOT IN (SELECT key FROM cache WHERE status = 'ok')", CACHED)
+add("lexicon_translate", f"SELECT doc_id, group_id, {_lexicon('wire_text')} AS raw FROM sent", PARAS)
+add(
+    "split_translation",
+    f"""
+SELECT g.doc_id, g.line_no,
+  CASE WHEN t.n_lines = 1 THEN t.translated
+       WHEN g.line_no = t.first_no + t.n_lines - 1 AND r.rest IS NOT NULL AND {_strip("r.rest")} <> '' THEN trim(coalesce({_strip("p.piece")}, '') || ' ' || {_strip("r.rest")})
+       ELSE coalesce({_strip("p.piece")}, '') END AS translated
+FROM grouped g JOIN todo t USING (doc_id, group_id)
+LEFT JOIN pieces p ON p.doc_id = g.doc_id AND p.group_id = g.group_id AND p.line = g.line_no - t.first_no
+LEFT JOIN rests r ON r.doc_id = g.doc_id AND r.group_id = g.group_id
+""",
+    PARAS
+    + f""", sizes AS (
+  SELECT doc_id, group_id, min(line_no) AS first_no, list(length(template) ORDER BY line_no) AS lens FROM grouped GROUP BY doc_id, group_id
+), todo AS MATERIALIZED (
+  SELECT doc_id, group_id, n_lines, first_no, lens, {_lexicon("template")} AS translated FROM paras_ JOIN sizes USING (doc_id, group_id)
+), shares AS MATERIALIZED (
+  SELECT doc_id, group_id, n_lines - 1 AS last, regexp_extract_all(translated, '[ \\t\\n\\r\\f]+|[^ \\t\\n\\r\\f]+') AS toks,
+    list_transform(lens, lambda n: CAST(trunc(CAST(length(translated) AS DOUBLE) * (CAST(n AS DOUBLE) / CAST(list_sum(lens) AS DOUBLE))) AS BIGINT)) AS share
+  FROM todo WHERE n_lines > 1
+), walk AS (
+  SELECT doc_id, group_id, last, toks, share, 0 AS k, CAST(0 AS BIGINT) AS line, false AS over, CAST(0 AS BIGINT) AS next_line, CAST(0 AS BIGINT) AS used, 0 AS held FROM shares
+  UNION ALL
+  SELECT doc_id, group_id, last, toks, share, k + 1, goes, lost,
+    CASE WHEN NOT lost AND goes < last AND total >= share[goes + 1] THEN goes + 1 ELSE goes END,
+    CASE WHEN NOT lost AND goes < last AND total >= share[goes + 1] THEN 0 ELSE total END,
+    CASE WHEN NOT lost AND goes < last AND total >= share[goes + 1] THEN 0 ELSE 1 END
+  FROM (
+    SELECT *, CASE WHEN fits THEN next_line WHEN next_line < last THEN next_line + 1 ELSE last END AS goes,
+      over OR (NOT fits AND next_line = last) AS lost, CASE WHEN fits THEN used + n ELSE n END AS total
+    FROM (SELECT *, length(toks[k + 1]) AS n, NOT over AND (held = 0 OR used + length(toks[k + 1]) <= share[next_line + 1] * CAST(1.3 AS DOUBLE)) AS fits FROM walk WHERE k < len(toks)))
+), pieces AS (
+  SELECT doc_id, group_id, line, string_agg(toks[k], '' ORDER BY k) AS piece FROM walk WHERE k > 0 AND NOT over GROUP BY doc_id, group_id, line
+), rests AS (
+  SELECT doc_id, group_id, string_agg(toks[k], '' ORDER BY k) AS rest FROM walk WHERE over GROUP BY doc_id, group_id
+)""",
+)
+add(
+    "changed_lines_by_page",
+    f"SELECT doc_id, page_idx, count(*) FILTER (WHERE {_strip(_lexicon('template'))} <> {_strip('template')}) AS n_changed, count(*) AS n_lines FROM lines GROUP BY ALL",
+    LINES,
+)
+add("math_char_map", f"SELECT doc_id, line_seq, span_no, family, {MAPPED} AS mapped, {_mapped('text', 'CMBX')} AS bold, {_mapped('text', 'EUFM')} AS fraktur FROM styled WHERE NOT is_text")
+add("render_route", f"SELECT doc_id, line_seq, span_no, {ROUTE} AS route FROM styled WHERE NOT is_text")
+
+SEGS = (
+    LINES
+    + f""", texts AS (SELECT *, {_lexicon("template")} AS translated FROM lines
+), cutup AS (
+  SELECT doc_id, line_seq, part, x0, font_size, list_filter(string_split(regexp_replace(template, '(\\{{M[0-9]+\\}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS segs,
+    list_filter(string_split(regexp_replace(translated, '(\\{{M[0-9]+\\}})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '') AS tsegs FROM texts
+), segrows AS (
+  SELECT doc_id, line_seq, part, x0 AS line_x0, font_size, u.i AS seg_no, u.s AS seg, CASE WHEN regexp_matches(u.s, '^\\{{M[0-9]+\\}}$') THEN 'math' ELSE 'text' END AS kind
+  FROM (SELECT *, unnest(list_transform(segs, lambda s, i: {{'i': CAST(i - 1 AS INTEGER), 's': s}})) AS u FROM cutup)
+), tsegrows AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id, line_seq, part ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos, sum(n) OVER (PARTITION BY doc_id, line_seq, part) AS text_len
+  FROM (SELECT doc_id, line_seq, part, u.i AS seg_no, u.s AS seg, CASE WHEN regexp_matches(u.s, '^\\{{M[0-9]+\\}}$') THEN 0 ELSE length(u.s) END AS n
+        FROM (SELECT *, unnest(list_transform(tsegs, lambda s, i: {{'i': CAST(i - 1 AS INTEGER), 's': s}})) AS u FROM cutup))
+)"""
+)
+add("segments", "SELECT doc_id, line_seq, part, seg_no, kind, seg FROM segrows", SEGS)
+add(
+    "style_map",
+    """
+SELECT doc_id, line_seq, part, seg_no, run_idx, substr(seg, CAST(greatest(pos, start) - pos + 1 AS BIGINT), CAST(least(pos + n, stop) - greatest(pos, start) AS BIGINT)) AS piece, style
+FROM tsegrows JOIN spread USING (doc_id, line_seq, part) WHERE n > 0 AND start < pos + n AND stop > pos
+UNION ALL SELECT doc_id, line_seq, part, seg_no, -1, seg, 'math' FROM tsegrows WHERE n = 0
+""",
+    SEGS
+    + """, lens AS (SELECT doc_id, line_seq, part, max(text_len) AS size FROM tsegrows GROUP BY ALL
+), stylerows AS (
+  SELECT doc_id, line_seq, part, run_idx, any_value(style) AS style, sum(length(text)) AS m
+  FROM (SELECT *, CAST(sum(turn) OVER (PARTITION BY doc_id, line_seq, part ORDER BY x0) AS INTEGER) AS run_idx
+        FROM (SELECT *, CASE WHEN style <> lag(style) OVER (PARTITION BY doc_id, line_seq, part ORDER BY x0) THEN 1 ELSE 0 END AS turn FROM parts WHERE is_text))
+  GROUP BY doc_id, line_seq, part, run_idx
+), stops AS (
+  SELECT doc_id, line_seq, part, run_idx, style, CAST(trunc(CAST(sum(m) OVER w AS DOUBLE) / CAST(sum(m) OVER (PARTITION BY doc_id, line_seq, part) AS DOUBLE) * CAST(size AS DOUBLE)) AS BIGINT) AS stop
+  FROM stylerows JOIN lens USING (doc_id, line_seq, part) WINDOW w AS (PARTITION BY doc_id, line_seq, part ORDER BY run_idx)
+), spread AS (
+  SELECT * FROM (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id, line_seq, part ORDER BY run_idx), 0) AS start FROM stops) WHERE stop > start
+)""",
+)
+GROUPS = (
+    SEGS
+    + f""", attached AS (
+  SELECT * FROM (
+    SELECT a.doc_id, a.line_seq, a.frag, k.line_seq AS to_line, k.part AS to_part,
+      row_number() OVER (PARTITION BY a.doc_id, a.line_seq, a.frag ORDER BY abs((a.y0 + a.y1) / 2 - k.mid), k.line_seq, k.part) AS place
+    FROM rawlines a JOIN (
+      SELECT doc_id, page_idx, block_no, line_seq, part, (min(y0) + max(y1)) / 2 AS mid, min(x0) FILTER (WHERE NOT is_text AND run = 0) AS math_x0
+      FROM runs GROUP BY doc_id, page_idx, block_no, line_seq, part HAVING bool_or(is_text) AND math_x0 IS NOT NULL
+    ) k ON a.doc_id = k.doc_id AND a.page_idx = k.page_idx AND a.block_no = k.block_no AND abs((a.y0 + a.y1) / 2 - k.mid) < 20 AND abs(a.x0 - k.math_x0) < 15
+    WHERE a.frag >= 1000) WHERE place = 1
+), mgroups AS MATERIALIZED (
+  SELECT doc_id, line_seq, part, CAST(run AS BIGINT) AS run, row_number() OVER (PARTITION BY doc_id, line_seq, part, run ORDER BY x0, span_no) - 1 AS pos, text, font, size, x0, y0, x1, y1, oy, family
+  FROM runs WHERE NOT is_text
+  UNION ALL
+  SELECT r.doc_id, a.to_line, a.to_part, 0, r.frag - 1000000 + 100 * r.line_seq, r.text, r.font, r.size, r.x0, r.y0, r.x1, r.y1, r.oy, 'CMMI'
+  FROM raws r JOIN attached a USING (doc_id, line_seq, frag)
+), pairs AS MATERIALIZED (
+  SELECT a.doc_id, a.line_seq, a.part, a.run, a.pos AS pos_a, b.pos AS pos_b
+  FROM mgroups a JOIN mgroups b ON a.doc_id = b.doc_id AND a.line_seq = b.line_seq AND a.part = b.part AND a.run = b.run AND a.pos < b.pos
+  WHERE least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 AND abs(a.oy - b.oy) > 3
+    AND abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) < greatest(least(a.x1 - a.x0, b.x1 - b.x0) * CAST(0.7 AS DOUBLE), CAST(2.0 AS DOUBLE))
+    AND NOT EXISTS (SELECT 1 FROM mgroups c WHERE c.doc_id = a.doc_id AND c.line_seq = a.line_seq AND c.part = a.part AND c.run = a.run AND c.pos <> a.pos AND c.pos <> b.pos
+                    AND abs(c.x1 - least(a.x0, b.x0)) < 1.5)
+), stackset AS (
+  SELECT DISTINCT doc_id, line_seq, part, run, unnest([pos_a, pos_b]) AS pos FROM pairs
+), scripts AS (
+  SELECT b.doc_id, b.line_seq, b.part, b.run, b.pos AS base, f.pos
+  FROM mgroups b JOIN mgroups f ON b.doc_id = f.doc_id AND b.line_seq = f.line_seq AND b.part = f.part AND b.run = f.run AND f.pos > b.pos
+  WHERE b.family IN ('rsfs', 'EUFM') AND {_strip("b.text")} <> '' AND NOT EXISTS (
+    SELECT 1 FROM mgroups k WHERE k.doc_id = b.doc_id AND k.line_seq = b.line_seq AND k.part = b.part AND k.run = b.run AND k.pos > b.pos AND k.pos <= f.pos
+      AND NOT ({_strip("k.text")} = '' OR (k.size < b.size AND abs(k.x0 - b.x1) < 3)))
+)"""
+)
+add("stacked_pairs", "SELECT * FROM pairs", GROUPS)
+add("attached_scripts", "SELECT * FROM scripts", GROUPS)
+add(
+    "fraction_bars",
+    """
+SELECT doc_id, line_seq, part, run, count(*) AS n_stacked, (arg_min(y1, y0 * 1000000 + pos) + arg_max(y0, y0 * 1000000 + pos)) / 2 AS bar_y
+FROM mgroups JOIN stackset USING (doc_id, line_seq, part, run, pos) GROUP BY ALL
+""",
+    GROUPS,
+)
+add(
+    "pen_advance",
+    """
+SELECT doc_id, line_seq, part, seg_no, line_x0 + coalesce(sum(step) OVER (PARTITION BY doc_id, line_seq, part ORDER BY seg_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS x
+FROM (SELECT s.*, CASE WHEN kind = 'text' THEN length(seg) * CAST(0.5 AS DOUBLE) * font_size ELSE coalesce(w.width, 0.0) END AS step
+      FROM segrows s LEFT JOIN widths w ON s.doc_id = w.doc_id AND s.line_seq = w.line_seq AND s.part = w.part AND s.kind = 'math' AND w.run = CAST(nullif(regexp_extract(s.seg, '^\\{M([0-9]+)\\}$', 1), '') AS BIGINT))
+""",
+    GROUPS
+    + f""", drawn AS (
+  SELECT m.*, s.pos IS NOT NULL AS stacked, {ROUTE} AS route, {STYLED} AS way, {MAPPED} AS mapped
+  FROM mgroups m LEFT JOIN stackset s USING (doc_id, line_seq, part, run, pos)
+  WHERE m.x1 - m.x0 >= 0.5 AND NOT EXISTS (SELECT 1 FROM scripts a WHERE a.doc_id = m.doc_id AND a.line_seq = m.line_seq AND a.part = m.part AND a.run = m.run AND a.pos = m.pos)
+), wide AS (
+  SELECT *, CASE WHEN route IN ('drop', 'copy') THEN x1 - x0 ELSE length(CASE WHEN way = 'math' THEN mapped ELSE text END) * CAST(0.5 AS DOUBLE) * size END AS width,
+    CASE WHEN stacked AND coalesce(lag(stacked) OVER (PARTITION BY doc_id, line_seq, part, run ORDER BY pos), false) THEN 0 ELSE 1 END AS fresh
+  FROM drawn
+), items AS (
+  SELECT doc_id, line_seq, part, run, item, max(width) + CASE WHEN bool_or(stacked) THEN 1.5 ELSE 0 END AS w
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, line_seq, part, run ORDER BY pos) AS item FROM wide) GROUP BY ALL
+), widths AS (SELECT doc_id, line_seq, part, run, sum(w) AS width FROM items GROUP BY ALL)""",
+)
+add("whiteout_rects", f"SELECT doc_id, line_seq, part, x0 - 1 AS x0, y0 - 1 AS y0, CASE WHEN regexp_matches(template, '{LEADER}') THEN CAST(582 AS DOUBLE) ELSE x1 + 2 END AS x1, y1 + 1 AS y1 FROM lines", LINES)
+add("font_baseline", "SELECT doc_id, line_seq, part, font_size, baseline FROM lines", LINES)
+add(
+    "toc_leaders",
+    """
+SELECT doc_id, dots_start, CAST(CASE WHEN stop > dots_start + 30 THEN trunc((stop - dots_start) / 10) ELSE 0 END AS INTEGER) AS n_dots, pn_x
+FROM (SELECT doc_id, CAST(76 + 5 * length(content) AS DOUBLE) AS dots_start, CASE WHEN page <> '' THEN CAST(500 - 5 * length(page) AS DOUBLE) END AS pn_x,
+        CASE WHEN page <> '' THEN CAST(496 - 5 * length(page) AS DOUBLE) ELSE 498.0 END AS stop FROM tocs)
+""",
+    TOC,
+)
+LINKS = r"""
+links AS (
+  SELECT page_id AS doc_id, 0 AS page_idx, u.i AS link_idx, u.t AS text, CAST(72 + 48 * (u.i % 8) AS DOUBLE) AS x0, CAST(72 + 18 * (u.i // 8) AS DOUBLE) AS y0,
+    CAST(72 + 48 * (u.i % 8) + 5 * length(u.t) AS DOUBLE) AS x1, CAST(82 + 18 * (u.i // 8) AS DOUBLE) AS y1
+  FROM (SELECT page_id, unnest(list_transform(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1), lambda t, i: {'i': CAST(i - 1 AS INTEGER), 't': t})) AS u
+        FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL)
+), shifted AS (
+  SELECT DISTINCT doc_id, CAST(y0 + 5 + CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 3 END AS INTEGER) AS y FROM links
+), reached AS (
+  SELECT l.*, e.y IS NOT NULL AS hit FROM links l LEFT JOIN shifted e ON e.doc_id = l.doc_id AND abs(e.y - (l.y0 + l.y1) / 2) <= 1
+)"""
+
+
+def link(name: str, body: str) -> None:
+    SQL[name] = "WITH " + LINKS.strip() + "\n" + body.strip()
+
+
+link("link_colors", "SELECT doc_id, page_idx, link_idx, CASE WHEN link_idx % 3 = 0 THEN 0.0 ELSE 1.0 END AS r, CASE WHEN link_idx % 3 = 0 THEN 0.5 ELSE 0.0 END AS g, CASE WHEN link_idx % 3 = 0 THEN 1.0 ELSE 0.0 END AS b, link_idx % 3 = 1 AS set_colour, link_idx % 3 = 2 AS set_width FROM links")
+link("link_extents", "SELECT doc_id, link_idx, CASE WHEN hit THEN 72.0 END AS orig_x0, CASE WHEN hit THEN 372.0 END AS text_end FROM reached")
+link(
+    "link_reposition",
+    """
+SELECT doc_id, link_idx, printf('[%.3f %.3f %.3f %.3f]',
+  CASE WHEN x0 >= 77 AND hx0 IS NOT NULL AND length(text) <= 20 THEN hx0 - 0.5 WHEN x0 < 77 THEN 72 ELSE 72 + (x0 - 72) * CAST(0.75 AS DOUBLE) END, 792 - y1,
+  CASE WHEN x0 >= 77 AND hx0 IS NOT NULL AND length(text) <= 20 THEN hx1 + 0.5 WHEN x0 < 77 THEN 372 ELSE 72 + (x1 - 72) * CAST(0.75 AS DOUBLE) END, 792 - y0) AS rect
+FROM (
+  SELECT r.*, h.x0 + 25 AS hx0, h.x1 + 25 AS hx1, row_number() OVER (PARTITION BY r.doc_id, r.link_idx ORDER BY abs(h.x0 + 25 - r.x0) + abs(h.y0 - r.y0), h.link_idx) AS place
+  FROM reached r LEFT JOIN links h ON r.doc_id = h.doc_id AND r.text = h.text AND r.text <> '' AND h.link_idx % 2 = 0 AND abs(h.y0 - r.y0) <= 15
+  WHERE r.hit) WHERE place = 1
+""",
+)
+link("links_lost", "SELECT doc_id, link_idx, text FROM links l WHERE NOT EXISTS (SELECT 1 FROM links s WHERE s.doc_id = l.doc_id AND s.x0 = l.x0 AND s.y0 = l.y0 AND s.link_idx % 4 <> 0)")
+add(
+    "text_under_links",
+    f"""
+SELECT doc_id, link_idx, {_strip("t")} AS text FROM (
+  SELECT l.doc_id, l.link_idx, string_agg(s.text, '' ORDER BY s.line_seq, s.span_no) AS t
+  FROM links l JOIN styled s ON l.doc_id = s.doc_id AND l.page_idx = s.page_idx AND s.x0 < l.x1 AND s.x1 > l.x0 AND s.y0 < l.y1 AND s.y1 > l.y0 GROUP BY ALL)
+WHERE {_strip("t")} <> ''
+""",
+    LINKS,
+)
+STATE = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END"
+JOBS = f"""jobs AS (
+  SELECT user_id AS job_id, arg_max({STATE}, {{'ts': ts, 'id': event_id}}) AS status, min(ts) AS created, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS steps, count(*) AS n
+  FROM events WHERE user_id IS NOT NULL GROUP BY user_id
+)"""
+SQL["job_status"] = f"""WITH {JOBS}
+SELECT job_id, status, created, CASE WHEN steps > 0 THEN steps END AS progress, CASE WHEN steps > 0 THEN n END AS total,
+  CASE WHEN steps > 0 THEN CAST(floor(100.0 * CAST(steps AS DOUBLE) / n + 0.5) AS BIGINT) END AS percent FROM jobs"""
+SQL["job_expired"] = f"WITH {JOBS} SELECT job_id, status FROM jobs WHERE created < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 SECOND"
+SQL["job_downloads"] = f"""WITH {JOBS}
+SELECT a.job_id, CASE WHEN j.status IS NULL THEN 404 WHEN j.status <> 'done' THEN 400 ELSE 200 END AS code
+FROM (SELECT DISTINCT user_id + event_id % 2 * 1000000 AS job_id FROM events) a LEFT JOIN jobs j USING (job_id)"""
+SQL["job_concurrency"] = """
+SELECT event_id, server, n_active, n_active < 2 AS admitted FROM (
+  SELECT event_id, event_type, user_id % 8 AS server,
+    CAST(greatest(coalesce(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE -1 END) OVER (PARTITION BY user_id % 8 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS BIGINT) AS n_active
+  FROM events WHERE user_id IS NOT NULL AND event_type IN ('signup', 'purchase', 'error')) WHERE event_type = 'signup'"""
+SQL["upload_names"] = r"""
+SELECT page_id, CASE WHEN NOT lower(name) LIKE '%.pdf' THEN 'suffix' WHEN octet_length(encode(html)) > 52428800 THEN 'size' END AS refused,
+  regexp_replace(name, '\.[^.]*$', '') || '-translated.pdf' AS served_name, regexp_replace(name, '\.[^.]*$', '') || '-en.pdf' AS file_name
+FROM (SELECT page_id, html, regexp_extract(url, '([^/?#]*)[^/]*$', 1) || CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '' END AS name FROM pages)"""
