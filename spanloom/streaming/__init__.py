@@ -1 +1 @@
-
+"""Continuous forms of the job operators."""
