@@ -3,7 +3,8 @@
 Each round hooks every node to its least neighbour, follows the hooks to their roots
 by pointer jumping, and keeps the edges between different roots. A round at least
 halves the nodes that still have edges. What leaves a round is cut from its lineage in
-the shared checkpoint folder; nothing but row counts reaches the driver.
+the shared checkpoint folder; nothing but row counts reaches the driver. Joins are merge joins by hint:
+a broadcast would gather a side of each of the many steps in the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         hook = cut(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         while True:
             up = hook.select(F.col("node").alias("via"), F.col("root").alias("far"))
-            jumped = hook.join(up, hook.root == up.via, "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
+            jumped = hook.join(up.hint("merge"), hook.root == up.via, "left").select("node", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved"))
             jumped = cut(jumped)
             moved = not jumped.filter("moved").isEmpty()
             hook = jumped.select("node", "root")
@@ -32,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
         maps.append(hook)
         left = hook.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = hook.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        live = live.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        live = live.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         live = cut(live.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -40,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
     found = maps[-1]
     for m in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("final"))
-        found = m.join(later, "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(found)
+        found = m.join(later.hint("merge"), "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(found)
     roots = found.select(F.col("root").alias("node")).distinct()
     return cut(found.unionByName(roots.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))

@@ -232,23 +232,23 @@ def assign(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 6, miss:
     classes = cut(seen.filter("kind IS NOT NULL AND doc_id IS NOT NULL").groupBy("kind").agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands")))
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1").select("band", "least")
-    families = components(banded.join(buckets, "band").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    families = components(banded.join(buckets.hint("merge"), "band").select(F.col("least").alias("a"), F.col("node").alias("b")))
     sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_b"))
-    placed = families.join(sizes, "root").select(F.col("root").alias("family"), "node", "n_b")
+    placed = families.join(sizes.hint("merge"), "root").select(F.col("root").alias("family"), "node", "n_b")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    members = placed.join(texts, "node").select("family", "node", "n_b", "text").mapInArrow(_members(n, signer), "family long, node long, n_b int, found binary, sign binary")
+    members = placed.hint("merge").join(texts, "node").select("family", "node", "n_b", "text").mapInArrow(_members(n, signer), "family long, node long, n_b int, found binary, sign binary")
     block = F.pmod(F.xxhash64("node"), "n_b").cast("int")
     spread = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)))
     spread = spread.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block", "found", "sign")
     links = spread.groupBy("family", "i", "j").applyInArrow(_compare(percent, miss, signer.bands * rows), "a long, b long")
     # classes that share a doc_id are one node already; the least node of a component is its least doc_id
     linked = components(links)
-    named = classes.select("kind", "node").join(linked, "node", "left").select("kind", F.coalesce("root", "node").alias("found_id"))
-    out = seen.drop("bands").join(named, "kind", "left").withColumn("component_id", F.coalesce("found_id", "doc_id"))
+    named = classes.select("kind", "node").join(linked.hint("merge"), "node", "left").select("kind", F.coalesce("root", "node").alias("found_id"))
+    out = seen.drop("bands").join(named.hint("merge"), "kind", "left").withColumn("component_id", F.coalesce("found_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 6) -> DataFrame:
     """``docs``, all its columns, with one document of each component: the one with the least doc_id, and of its repeated rows one."""
     kept = assign(docs, n, percent, rows).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
