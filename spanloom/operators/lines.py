@@ -188,20 +188,35 @@ def merged_order(rows: list[Raw]) -> list[list[Raw]]:
 MERGED = "doc_id long, page_idx int, block_no int, line_seq int, frag int, line_no int, y_group int"
 
 
+def _folded(block: tuple, rows: list[tuple]) -> list[tuple]:
+    """Output rows of one block; ``rows`` hold line_seq and frag, then what ``Raw`` takes."""
+    # in the order of the source: a small line over another comes right after it
+    rows.sort(key=lambda r: (r[0], r[1] % 1000, r[1] // 1000))
+    raws = [Raw(k, *r[2:]) for k, r in enumerate(rows)]
+    group_no = {m.number: g for g, members in enumerate(group_by_y(raws)) for m in members}
+    return [(*block, *rows[m.number][:2], n, group_no[m.number]) for n, line in enumerate(merged_order(raws)) for m in line]
+
+
 def merge_raw_lines(frags: DataFrame) -> DataFrame:
     """The exact fold: each raw line (fragment) with the number of the line of its block that it ends up in, and of its y-group.
 
-    A block of a page is one group; its size is bounded by what a page holds.
+    Rows stream through Arrow batches, block after block; a worker holds one block of a page.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        # raw lines in the order of the source: a small line over another comes right after it
-        pdf = pdf.assign(own=pdf["frag"] % 1000, over=pdf["frag"] // 1000).sort_values(["line_seq", "own", "over"], kind="stable")
-        keys = list(zip(pdf["line_seq"], pdf["frag"], strict=True))
-        rows = [Raw(k, *v) for k, v in enumerate(zip(*(pdf[c] for c in ("x0", "y0", "x1", "y1", "core_y0", "core_y1", "has_text", "cmex_only")), strict=True))]
-        group_no = {m.number: g for g, members in enumerate(group_by_y(rows)) for m in members}
-        got = [(keys[m.number][0], keys[m.number][1], n, group_no[m.number]) for n, line in enumerate(merged_order(rows)) for m in line]
-        head = {c: pdf[c].iloc[0] for c in ("doc_id", "page_idx", "block_no")}
-        return pd.DataFrame([{**head, "line_seq": a, "frag": b, "line_no": n, "y_group": g} for a, b, n, g in got])
-
-    return frags.groupBy("doc_id", "page_idx", "block_no").applyInPandas(run, MERGED)
+    names = [c.split()[0] for c in MERGED.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held = None, []
+        for pdf in frames:
+            out: list[tuple] = []
+            for r in pdf.itertuples(index=False, name=None):
+                if r[:3] != block:
+                    if held:
+                        out += _folded(block, held)
+                    block, held = r[:3], []
+                held.append(r[3:])
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(_folded(block, held), columns=names)
+
+    rows = frags.select("doc_id", "page_idx", "block_no", "line_seq", "frag", "x0", "y0", "x1", "y1", "core_y0", "core_y1", "has_text", "cmex_only")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page_idx", "block_no").mapInPandas(run, MERGED)
