@@ -60,7 +60,59 @@ FROM marked d JOIN probs p ON d.source IS NOT DISTINCT FROM p.source AND d.lang
     )
 
 
+_CASE = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _node(url: str) -> str:
+    rest = f"regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+    return f"translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), {_CASE}) || CASE WHEN {rest} = '' THEN '/' ELSE {rest} END"
+
+
+def _absolute(link: str) -> str:
+    link = f"trim(replace({link}, '&amp;', '&'))"
+    return f"CASE WHEN contains({link}, '://') THEN {link} WHEN {link} LIKE '//%' THEN scheme || ':' || {link} WHEN {link} LIKE '/%' THEN scheme || '://' || host || {link} END"
+
+
+URLS = f"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_CASE}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme,
+    CASE WHEN contains(url, '://') THEN {_node("url")} END AS node
+  FROM pages
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM parts
+), tags AS (
+  SELECT node, scheme, host, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) AS link,
+    regexp_extract(html, '(?is)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0) AS meta
+  FROM parts WHERE node IS NOT NULL
+), targets AS (
+  SELECT node, scheme, host, regexp_extract(link, '(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1) || regexp_extract(link, '(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 2)
+    || regexp_extract(link, '(?is)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 3) AS t FROM tags WHERE link <> ''
+  UNION ALL SELECT node, scheme, host, regexp_extract(meta, '(?is)\\burl\\s*=\\s*["'']?([^"''>\\s]+)', 1) FROM tags WHERE meta <> ''
+), ends AS (
+  SELECT node AS a, {_absolute("t")} AS u FROM targets
+), edges AS (
+  SELECT a, {_node("u")} AS b FROM ends WHERE contains(u, '://')
+), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), reach AS (
+  SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a
+), bad AS (
+  SELECT DISTINCT node FROM ruled WHERE rule IN ('example.org/es/', 'example.org/en/1', 'com/de/')
+), tainted AS (
+  SELECT node FROM bad UNION SELECT r.node FROM reach r JOIN bad ON r.other = bad.node
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR t.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled LEFT JOIN tainted t ON ruled.node = t.node
+"""
+
 ORACLES: dict[str, str] = {
     "op2_rake_mixing": rake_sql(),
+    "op8_redirect_equivalence": URLS,
     "op9_voronoi_knn": KNN,
 }
