@@ -106,8 +106,15 @@ def lines(spans: DataFrame) -> DataFrame:
     return kept.join(styles, [*LINE, "part"], "left").withColumn("font_style", F.coalesce("font_style", F.lit("regular"))).drop("text_only")
 
 
+def with_math(spans: DataFrame) -> DataFrame:
+    """Spans of visual lines that hold any mathematics: a few hundredths of a text, and all that such operators look at."""
+    w = W.partitionBy(*LINE)
+    return spans.withColumn("any_math", F.bool_or(~F.col("is_text")).over(w)).filter("any_math").drop("any_math")
+
+
 def attach_math(spans: DataFrame) -> DataFrame:
     """Raw lines of mathematics alone, each with the line of its block whose middle is nearest (under 20 away) and whose first mathematics is near in x."""
+    spans = with_math(spans)
     parts = math_runs(line_parts(spans))
     first_math = parts.filter("NOT is_text AND run = 0").groupBy(*LINE, "part").agg(F.min("x0").alias("math_x0"))
     known = parts.groupBy(*LINE, "part").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.bool_or("is_text").alias("t")).filter("t").join(first_math, [*LINE, "part"])

@@ -62,19 +62,20 @@ def spans(docs: DataFrame) -> DataFrame:
     )
 
 
-def numerators(rows: DataFrame) -> DataFrame:
-    """The small span over each fragment that is raised by 3 and begins at a multiple of 3, as span rows with frag + 1000."""
-    s = rows.filter(~F.col("is_text") & (F.col("wno") == F.col("first_wno")) & ((F.col("doc_id") + F.col("wno")) % 2 == 0) & (F.col("wno") % 3 == 0))
-    return s.select(
-        "doc_id", "page_idx", "block_no", "line_seq", F.lit(0).alias("span_no"), (F.col("frag") + 1000).alias("frag"), "wno", "first_wno", "is_text",
-        F.lit("d").alias("text"), F.lit("ABCDEF+CMMI7").alias("font"), F.lit(7.0).alias("size"), "x0", (F.col("y0") - 3).alias("y0"), (F.col("x0") + 4).alias("x1"), (F.col("y0") + 2).alias("y1"), (F.col("oy") - 5).alias("oy"),
-    )
-
-
 def raw_spans(docs: DataFrame) -> DataFrame:
-    """All spans with the raw line they stand in: fragments and numerators."""
+    """All spans with the raw line they stand in: fragments, and the small lines over some of them (frag + 1000).
+
+    A small line stands over each fragment of mathematics that is raised by 3 and begins at a multiple of 3. It is made in
+    the row of the fragment's first span, so that it stays in that row's partition.
+    """
     rows = spans(docs)
-    return rows.unionByName(numerators(rows))
+    over = ~F.col("is_text") & (F.col("wno") == F.col("first_wno")) & ((F.col("doc_id") + F.col("wno")) % 2 == 0) & (F.col("wno") % 3 == 0)
+    new = {
+        "span_no": F.lit(0), "frag": F.col("frag") + 1000, "text": F.lit("d"), "font": F.lit("ABCDEF+CMMI7"), "size": F.lit(7.0),
+        "y0": F.col("y0") - 3, "x1": F.col("x0") + 4, "y1": F.col("y0") + 2, "oy": F.col("oy") - 5,
+    }
+    here, small = F.struct(*rows.columns), F.struct(*(new.get(c, F.col(c)).cast(t).alias(c) for c, t in rows.dtypes))
+    return rows.select(F.inline(F.when(over, F.array(here, small)).otherwise(F.array(here))))
 
 
 def toc_lines(docs: DataFrame) -> DataFrame:

@@ -40,3 +40,17 @@ def test_matches_sql(spark, duck, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_runs_without_sql(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).count() > 0
+
+
+def test_boundaries_keep_lines(spark, sf_dir):
+    q = catalog.queries()
+    text_of = lambda df, order: {k: "".join(g.sort_values(order).piece) for k, g in df.toPandas().groupby(["doc_id", "line_seq", "part"])}
+    assert text_of(q["style_boundaries"](spark, sf_dir), ["piece_no"]) == text_of(q["style_map"](spark, sf_dir), ["seg_no", "run_idx"])
+
+
+def test_fold_covers_raw_lines(spark, sf_dir):
+    q = catalog.queries()
+    key = ["doc_id", "line_seq", "frag"]
+    got = q["y_overlap_groups"](spark, sf_dir).toPandas()
+    assert not got.duplicated(key).any()
+    assert sorted(map(tuple, got[key].values)) == sorted(map(tuple, q["core_y_range"](spark, sf_dir).toPandas()[key].values))
