@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, partitions
+from spanloom.llm.common import cut, partitions, slices
 
 #: Chunk sizes in bytes: no border before LEAST, one at MOST at the latest, one in 2**BITS places on average.
 LEAST, MOST, BITS = 96, 4096, 9
@@ -216,7 +216,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in slices(batches):
             packed = pa.array([squeeze(t.encode()) for t in batch.column(3).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "key", "version", "packed"])
 
@@ -233,7 +233,7 @@ def chunk_table(keyed: DataFrame) -> DataFrame:
     """Digest, document and place of every chunk of documents that have more than one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             origin, place, digests = [], [], []
             for r, text in enumerate(batch.column(1).to_pylist()):
                 data = text.encode()
@@ -271,7 +271,7 @@ def home_filter(homes: DataFrame) -> np.ndarray:
     size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = np.unique(_bits(*(c.to_numpy() for c in batch.columns), size))
             masks = np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
@@ -285,7 +285,7 @@ def home_filter(homes: DataFrame) -> np.ndarray:
 def _encode_homes(path: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, table = coder(path), held.value
-        for batch in batches:
+        for batch in slices(batches):
             digests, codes = [], []
             for key, version, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode()
@@ -308,7 +308,7 @@ def _encode_texts(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(path)
         kind = np.uint16 if len(c.width) <= 65536 else np.int32
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, shared in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 known = {x["place"]: np.frombuffer(x["codes"], kind).astype(np.int64) for x in shared or ()}

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Steps of a loop as tables in the shared folder.
+
+    A checkpointed frame keeps the size that the optimiser guessed for it, and a join's guess is the product of its
+    sides': in a loop of joins that number doubles its digits with every step, and planning ends up multiplying numbers
+    of millions of digits. A table that was written and is read again has the size of its files. ``drop`` deletes the tables; what is still needed is
+    ``cut`` before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def step(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.base}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -39,3 +66,10 @@ def partitions(spark: SparkSession) -> int:
 def crc_mod(col, n: int):
     """crc32 of the decimal text of ``col``, modulo ``n``."""
     return F.crc32(col.cast("string").cast("binary")) % F.lit(n)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows: what a worker holds as Python objects stays small, whatever Arrow's batch size."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)

@@ -24,7 +24,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import partitions
+from spanloom.llm.common import partitions, slices
 
 #: Counters of a digest (a power of two) and what a bucket, a quartile ratio and a step of length may add to a difference at most.
 BUCKETS = 512
@@ -97,7 +97,7 @@ def _row(doc_id, text: str, mark: str, following: str, next_mark: str) -> tuple:
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of (range, guest, descending id): each with the row after it; a range ends with a guest, the first row of the next."""
     held = None
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for reach, guest, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             mark = None

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import crc_mod
+from spanloom.llm.common import crc_mod, slices
 
 #: Labelled documents at most; bins of a feature, and of each side of a pair.
 SAMPLE, BINS, PAIR_BINS = 20_000, 64, 8
@@ -195,7 +195,7 @@ def described(docs: DataFrame, *carry: str) -> DataFrame:
     fields = [docs.schema[c] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [describe(t.as_py()) for t in batch.column(len(carry))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(rows, pa.list_(pa.float64()))], names=[*carry, "x"])
 
@@ -216,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
 
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([describe(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x), pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
@@ -237,7 +237,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([describe(t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= threshold))
 

@@ -32,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut
+from spanloom.llm.common import cut, slices
 from spanloom.llm.components import components
 
-#: Chance that a pair at the threshold shares no band; rows of a block; signature values of a batch; words kept in a worker's memo.
-BAND_MISS, BLOCK, BATCH, MEMO = 1e-5, 256, 30, 2_000_000
+#: Chance that a pair at the threshold shares no band; rows of a block; signature values of a batch; words kept in a worker's memo; keys of a large family.
+BAND_MISS, BLOCK, BATCH, MEMO, SALTS = 1e-5, 256, 30, 200_000, 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,7 +112,7 @@ def features(docs: DataFrame, n: int, signer: Signer) -> DataFrame:
     """Set size, set digest and band keys of every document; digest and keys are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, kinds, bands = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), n)
@@ -213,7 +213,7 @@ def _compare(percent: int, miss: float, width: int):
 
 def _members(n: int, signer: Signer):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found, sign = [], []
             for text in batch.column(3):
                 s = shingles(text.as_py(), n)
@@ -233,8 +233,10 @@ def assign(docs: DataFrame, n: int = 5, percent: int = 80, rows: int = 6, miss:
     banded = classes.select("node", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).filter("size > 1").select("band", "least")
     families = components(banded.join(buckets.hint("merge"), "band").select(F.col("least").alias("a"), F.col("node").alias("b")))
-    sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_b"))
-    placed = families.join(sizes.hint("merge"), "root").select(F.col("root").alias("family"), "node", "n_b")
+    # a family's block count meets its members under SALTS keys, so a large family is not one task
+    sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n_b")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = families.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(sizes.hint("merge"), ["root", "salt"]).select(F.col("root").alias("family"), "node", "n_b")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     members = placed.hint("merge").join(texts, "node").select("family", "node", "n_b", "text").mapInArrow(_members(n, signer), "family long, node long, n_b int, found binary, sign binary")
     block = F.pmod(F.xxhash64("node"), "n_b").cast("int")

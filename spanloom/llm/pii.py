@@ -28,6 +28,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.llm.common import slices
+
 #: The base kinds, in the order which breaks ties of their starts, and the patterns that define them.
 BASE_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -259,7 +261,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_PATTERNS), ("base_sha256", pa.string()), ("spans", pa.string())])
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(1):
                 base, added = scan(text.as_py())
@@ -297,7 +299,7 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
     count = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             cols = list(batch.columns)
             texts = [mask(x) for x in cols[at].to_pylist()]
             cols[at] = pa.array(texts, batch.schema.field(at).type)

@@ -28,6 +28,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.llm.common import slices
+
 #: Words kept in a worker's memo, at most; beyond it the memo starts anew (results do not depend on it).
 MEMO = 400_000
 
@@ -182,7 +184,7 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(model)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             done = [PrefixCounts(p, x) for x in texts]
             yield pa.RecordBatch.from_arrays(
