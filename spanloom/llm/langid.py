@@ -178,19 +178,19 @@ class Scorer:
 def sample(labelled: DataFrame, per_lang: int = SAMPLE) -> tuple[list[str], list[str]]:
     """The starts of at most ``per_lang`` distinct texts of each language, those of least hash.
 
-    A language's share of hash values is set by its row count, so that about three times the sample
-    passes; copies of a text become one row before anything is gathered.
+    Ranks go to distinct hashes, whatever the number of copies and empty texts: every language gets
+    min(``per_lang``, its distinct texts). Only hashes are ranked; the second pass takes the texts up to the last rank's
+    hash, and copies of a text become one row before anything is gathered.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.filter("lang IS NOT NULL").groupBy("lang").count().collect()}
-    if not counts:
+    hashed = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text", "lang"))
+    ranks = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
+    last = {r["lang"]: r["h"] for r in ranks.groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    if not last:
         return [], []
-    edges = []
-    for lang, n in sorted(counts.items()):
-        edges += [F.lit(lang), F.lit(int(-(2**63) + min(1.0, 3 * per_lang / n + 0.001) * (2**64 - 1)) if 3 * per_lang < n else 2**63 - 1)]
-    h = F.xxhash64("text", "lang")
-    few = labelled.filter(F.length("text") > 0).withColumn("h", h).filter(F.col("h") <= F.element_at(F.create_map(*edges), F.col("lang")))
+    edges = F.create_map(*(F.lit(x) for pair in sorted(last.items()) for x in pair))
+    few = hashed.filter(F.col("h") <= F.element_at(edges, F.col("lang")))
     one = few.select("lang", "h", F.substring("text", 1, 8 * TRAIN_WINDOW).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    best = one.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang).orderBy("lang", "k").collect()
+    best = one.orderBy("lang", "h").collect()
     return [r["text"] for r in best], [r["lang"] for r in best]
 
 

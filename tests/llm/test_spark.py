@@ -207,6 +207,18 @@ def test_quality_and_language_of_odd_rows(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_sample_takes_distinct_texts(spark):
+    from pyspark.sql import functions as F
+
+    copies = spark.range(340_000).select(F.lit("hot copy").alias("text"), F.lit("aa").alias("lang"))
+    empty = spark.range(5_000).select(F.lit("").alias("text"), F.lit("bb").alias("lang"))
+    own = spark.range(500).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.explode(F.array(F.lit("aa"), F.lit("bb"))).alias("lang"))
+    few = spark.createDataFrame([("one", "cc"), ("one", "cc"), ("two", "cc"), (None, "dd"), ("x", None)], "text string, lang string")
+    texts, langs = langid.sample(copies.unionByName(empty).unionByName(own).unionByName(few))
+    assert {k: langs.count(k) for k in set(langs)} == {"aa": 400, "bb": 400, "cc": 2}
+    assert len(set(zip(texts, langs, strict=True))) == len(texts) and langs == sorted(langs)
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
