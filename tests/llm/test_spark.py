@@ -177,6 +177,25 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_relative_links_of_every_tag(spark):
+    link, refresh = '<link rel="canonical" href="{}">'.format, '<meta http-equiv="refresh" content="0; url={}">'.format
+    bad = "http://a.example.com/de/1"
+    html = {
+        "http://n.net/d/old.html": link("new.html"), "http://n.net/d/new.html": link(bad),
+        "http://n.net/d/e/f": refresh("../x"), "http://n.net/d/x": refresh(bad),
+        "http://n.net/p?id=1": link("?id=2&amp;v=1"), "http://n.net/p?id=2&v=1": link(bad),
+        "http://bare.net": link("./q/../y"), "http://bare.net/y": link(bad),
+        "http://bare2.net": link("?k"), "http://bare2.net/?k": link(bad),
+        "http://up.net/a": link("../../../b/."), "http://up.net/b/": link(bad),
+        "http://two.net/1": link("http://safe.net/") + link(bad), "http://two.net/2": refresh("/other") + refresh(bad),
+        "http://rel.net/1": f"<link href='{bad}' rel='alternate canonical'>", "http://rel.net/2": f"<link rel=canonical href={bad}>",
+        "http://ok.net/1": link("mailto:a@b.c") + link("#top") + link(""), "http://ok.net/2": link("/go?u=" + bad), "http://ok.net/3": f'<link rel="non-canonical" href="{bad}">',
+    }
+    rows = [(k, u, h) for k, (u, h) in enumerate([*html.items(), (bad, "")])]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {u: got[k] for k, u, _ in rows} == {u: "allow" if "ok.net" in u else "block" for _, u, _ in rows}
+
+
 def test_knn_by_brute_force(spark):
     random.seed(9)
     rows = [(k, [random.gauss(0, 0.2) for _ in range(6)], 0) for k in range(400)] + [(1000 + k, [0.5] * 6, 1) for k in range(300)]
