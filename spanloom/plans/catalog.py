@@ -331,7 +331,7 @@ def link_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def link_reposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rectangles of links."""
+    """New rectangles of links; the search hits are made up (S8 is missing)."""
     l = _links(spark, sf_dir)
     hits = l.filter("link_idx % 2 = 0").select("doc_id", "page_idx", "text", F.col("link_idx").alias("hit_no"), (F.col("x0") + 25).alias("hx0"), (F.col("x1") + 25).alias("hx1"), F.col("y0").alias("hy0"))
     return links.repositioned(l, _extents(l), hits, lift.PAGE_HEIGHT).select("doc_id", "link_idx", "rect")
