@@ -53,7 +53,9 @@ def guarded(clusters: DataFrame) -> DataFrame:
 
 
 def line_parts(spans: DataFrame) -> DataFrame:
-    """Spans of merged lines: ``part`` tells the lines of one visual line apart."""
+    """Spans of merged lines: ``part`` tells the lines of one visual line apart. Spans that ``folded`` gave have it already."""
+    if "part" in spans.columns:
+        return spans
     parts = guarded(x_clusters(on_line(fragments(spans)))).select(*LINE, "frag", F.when(F.col("merged"), 100 * F.col("cluster")).otherwise(100 * F.col("cluster") + F.col("frag") + 1).alias("part"))
     return spans.join(parts, [*LINE, "frag"])
 
@@ -227,3 +229,26 @@ def merge_raw_lines(frags: DataFrame) -> DataFrame:
 
     rows = frags.select("doc_id", "page_idx", "block_no", "line_seq", "frag", "x0", "y0", "x1", "y1", "core_y0", "core_y1", "has_text", "cmex_only")
     return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page_idx", "block_no").mapInPandas(run, MERGED)
+
+
+def folded(spans: DataFrame) -> DataFrame:
+    """Spans by the lines of the exact fold, from any source: ``line_seq`` numbers a document's lines, ``span_no`` a line's spans from left to right; part and frag are 0."""
+    at = merge_raw_lines(fragments(spans)).withColumn("line", F.dense_rank().over(W.partitionBy("doc_id").orderBy("page_idx", "block_no", "line_no")) - 1)
+    rows = spans.join(at.select(*LINE, "frag", "line"), [*LINE, "frag"])
+    order = W.partitionBy("doc_id", "line").orderBy("x0", "line_seq", F.col("frag") % 1000, "frag", "span_no")
+    rows = rows.withColumn("span_no", F.row_number().over(order) - 1)
+    return rows.withColumn("line_seq", F.col("line")).withColumn("frag", F.lit(0)).withColumn("part", F.lit(0)).drop("line")
+
+
+def attach_lines(spans: DataFrame) -> DataFrame:
+    """``attach_math`` for spans that ``folded`` gave: every line of mathematics alone, to the nearest line of its block that is translated."""
+    order = [F.col("x0"), F.col("span_no")]
+    known = math_runs(with_math(spans)).groupBy(*LINE).agg(
+        _joined(order, F.when(F.col("is_text"), F.col("text")).otherwise("")).alias("text_only"), F.min("x0").alias("x0"),
+        ((F.min("y0") + F.max("y1")) / 2).alias("mid"), F.min(F.when(~F.col("is_text") & (F.col("run") == 0), F.col("x0"))).alias("math_x0"),
+    )
+    bare = text.strip(F.col("text_only")) == ""
+    alone = known.filter(bare).select(*LINE, "x0", F.col("mid").alias("own_mid"))
+    home = known.filter(~bare & ~text.is_numeric_only(F.col("text_only"))).select("doc_id", "page_idx", "block_no", F.col("line_seq").alias("to_line"), "mid", "math_x0")
+    near = alone.join(home, ["doc_id", "page_idx", "block_no"]).filter((F.abs(F.col("own_mid") - F.col("mid")) < 20) & (F.abs(F.col("x0") - F.col("math_x0")) < 15))
+    return near.groupBy(*LINE).agg(F.min_by("to_line", F.struct(F.abs(F.col("own_mid") - F.col("mid")), "to_line")).alias("to_line"))

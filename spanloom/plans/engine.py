@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,13 +24,24 @@ class Engine:
     cache_path: str | None = None
     send: dict = field(default_factory=dict)
 
-    def lines(self, spans: DataFrame) -> DataFrame:
-        """Translatable lines of the blocks that are not English already."""
+    def folded(self, spans: DataFrame) -> DataFrame:
+        """Spans of the blocks that are not English already, by the lines of the exact fold; what is folded stays as it is."""
+        if "part" in spans.columns:
+            return spans
         t = spans.filter("is_text")
         rows = F.array_sort(F.collect_list(F.struct("line_seq", "span_no", "text")))
         block = t.groupBy("doc_id", "page_idx", "block_no").agg(F.array_join(F.transform(rows, lambda r: r.text), "").alias("t"))
         english = block.filter(text.is_english(F.col("t"))).select("doc_id", "page_idx", "block_no")
-        return lines.lines(spans.join(english, ["doc_id", "page_idx", "block_no"], "left_anti"))
+        out = lines.folded(spans.join(english, ["doc_id", "page_idx", "block_no"], "left_anti"))
+        # many steps use the folded spans: the fold is run once, and its lineage is cut
+        sc = self.spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        return out.checkpoint()
+
+    def lines(self, spans: DataFrame) -> DataFrame:
+        """Translatable lines of the blocks that are not English already."""
+        return lines.lines(self.folded(spans))
 
     def raw(self, merged: DataFrame) -> DataFrame:
         """Paragraphs with their raw translation; new ones go to the cache first and are read from there."""
@@ -54,6 +66,7 @@ class Engine:
 
     def layout(self, spans: DataFrame) -> DataFrame:
         """Styled pieces of the lines that a translation changes, with where they stand: doc_id, page_idx, line_seq, part, seg_no, run_idx, piece, style, x, baseline, size."""
+        spans = self.folded(spans)
         changed = self.translations(spans).filter(text.strip(F.col("translated")) != text.strip(F.col("template")))
         mapped = layout.style_map(changed, lines.style_runs(lines.line_parts(spans)))
         pens = layout.pen_advance(changed, layout.math_groups(spans), "translated")

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import jobs, links, translate
+from spanloom.operators import jobs, layout, links, translate
 from spanloom.plans.engine import Engine
 from spanloom.sources import lift, readers, sinks
 from spanloom.streaming import jobs as streams
@@ -91,6 +91,25 @@ def test_nested_reader(spark, tmp_path):
     assert l.count() == 1 and links.colours(l).first()["g"] == 1.0
 
 
+def test_engine_merges_raw_lines_of_parsed_pages(spark, tmp_path):
+    def line(t, font, x0, y0, x1, y1):
+        box = {"x0": x0, "y0": y0, "x1": x1, "y1": y1}
+        return {"bbox": box, "spans": [{"text": t, "font": font, "size": 10.0, "bbox": box, "origin": {"x": x0, "y": y1 - 2}}]}
+
+    first = [line("Soit la fonction ", "A+SFRM1000", 72.0, 100.0, 150.0, 110.0), line("f", "A+CMMI10", 151.0, 101.0, 156.0, 111.0), line("d", "A+CMMI7", 151.0, 91.0, 154.0, 96.0), line(" continue", "A+SFRM1000", 157.0, 100.0, 200.0, 110.0)]
+    second = [line("Une autre ligne", "A+SFRM1000", 72.0, 200.0, 150.0, 210.0)]
+    page = {"width": 600.0, "height": 800.0, "blocks": [{"type": 0, "lines": b} for b in (first, second)], "links": []}
+    f = tmp_path / "d.json"
+    f.write_text(json.dumps({"doc_id": 1, "pages": [page]}) + "\n")
+    spans, e = readers.raw_spans(readers.nested(spark, str(f))), Engine(spark, backend=shout, send={"sleep": quiet})
+    got = {r.template: r for r in e.lines(spans).collect()}
+    assert set(got) == {"Soit la fonction {M0} continue", "Une autre ligne"}
+    assert len({r.line_seq for r in got.values()}) == 2  # lines of two blocks have keys of their own
+    groups = layout.math_groups(e.folded(spans)).filter(f"line_seq = {got['Soit la fonction {M0} continue'].line_seq}").orderBy("pos").collect()
+    assert [(r.run, r.text) for r in groups] == [(0, "d"), (0, "f")]
+    assert {r.piece.strip() for r in e.layout(spans).collect()} == {"SOIT LA FONCTION", "{M0}", "CONTINUE", "UNE AUTRE LIGNE"}
+
+
 def test_caches(spark, tmp_path):
     assert readers.cache(spark, str(tmp_path / "none")).count() == 0
     assert readers.json_cache(spark, str(tmp_path / "none.json"), "fr", "en").count() == 0
