@@ -1,10 +1,11 @@
 """PII by anchor expansion.
 
 One Aho-Corasick automaton walks each text once and reports *anchors*: at-signs,
-URL schemes, digits, plus signs and identifier cues. Each anchor is handed to a
+URL schemes, digits, plus signs and identifier cues (schemes and cues in any case). Each anchor is handed to a
 deterministic local parser which expands it to the left and right and validates
-what it found. No parser looks further than the characters of its own kind, so a
-text costs one pass plus the length of its candidates.
+what it found. No parser looks further than the characters of its own kind, and what
+may be asked again after a failure (the ends of a URL, its next slash and at-sign) is kept, so a
+text of any length, of nothing but cues too, costs time in proportion to its length.
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` are the *base* kinds: their spans
 are the leftmost non-overlapping matches of the patterns in ``BASE_PATTERNS``
@@ -14,14 +15,16 @@ with right check digits, a social-security-like number after its cue, or a
 credential assigned to a name such as ``token``).
 
 Edge cases: a null text is an empty one; it has no spans, counts of 0 and the
-digest of the empty string. Repeated rows give repeated results. Offsets are code
+digest of the empty string. Very long texts are scanned whole. Repeated rows give repeated results. Spans that start
+together are ordered by kind, as listed, then by end. Offsets are code
 points. Columns of the input other than those named are ignored by ``find`` and
-kept by ``redact``.
+kept by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -44,13 +47,17 @@ _DIGITS = frozenset("0123456789")
 _ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
+_LOWER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _PHONE = _DIGITS | frozenset(" ().-")
 _SECRET = _ALNUM | frozenset("_-/+.")
-_URL_END = frozenset(" \t\n\r\x0b\x0c\"'<>")
-#: Words that announce an identifier, in lower case; the automaton also holds their capitalised and upper-case forms.
+_URL_STOP = re.compile("[ \t\n\r\x0b\x0c\"'<>]")
+#: Words that announce an identifier, in lower case, and the characters that may stand between one and its value.
 CUES = ("iban", "ssn", "account number", "account no", "account id", "acct", "passport", "tax id", "customer id", "user id", "member id")
 #: Words that announce a credential in an assignment.
 SECRETS = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "private_key")
+_BETWEEN = " :#=.\"'"
+#: Characters between a cue and its value, and of a value, at most.
+GAP, VALUE = 8, 34
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "postgres://", "mysql://", "redis://", "amqp://", "mongodb://")
 
 
@@ -63,8 +70,7 @@ def _automaton():
     for s in SCHEMES:
         a.add_word(s, ("scheme", len(s)))
     for c in CUES + SECRETS:
-        for form in {c, c.capitalize(), c.upper()}:
-            a.add_word(form, ("cue", len(form)))
+        a.add_word(c, ("cue", len(c)))
     a.make_automaton()
     return a
 
@@ -153,17 +159,32 @@ def _phone(text: str, plus: int) -> tuple[int, int, bool] | None:
     return plus, end, 9 <= digits <= 15
 
 
-def _address(text: str, start: int, body: int) -> tuple[int, int] | None:
-    end = body
-    while end < len(text) and text[end] not in _URL_END:
-        end += 1
-    while end > body and text[end - 1] in ".,;:!?)":
-        end -= 1
-    authority = text[body:end].split("/", 1)[0]
-    who, at, host = authority.partition("@")
-    if not (at and who and host):
-        return None
-    return (start, end) if ":" in who or text[start:body] == "mailto:" else None
+class _Urls:
+    """Expands the schemes of one text, from left to right. A URL's ends, next slash and next at-sign serve every scheme before them."""
+
+    __slots__ = ("text", "stop", "end", "slash", "at")
+
+    def __init__(self, text: str):
+        self.text, self.stop, self.end, self.slash, self.at = text, -1, -1, -1, -1
+
+    def expand(self, start: int, body: int) -> tuple[int, int] | None:
+        text = self.text
+        if body > self.stop:  # beyond the last URL's characters: a new one
+            hit = _URL_STOP.search(text, body)
+            self.stop = hit.start() if hit else len(text)
+            self.end = body + len(text[body : self.stop].rstrip(".,;:!?)"))
+            self.slash = self.at = -1
+        end = self.end
+        if body >= end:
+            return None
+        if self.slash < body:
+            self.slash = text.find("/", body, end) % (len(text) + 1)  # none: beyond any end
+        if self.at < body:
+            self.at = text.find("@", body, end) % (len(text) + 1)
+        host_end = min(self.slash, end)
+        if not body < self.at < host_end - 1:
+            return None
+        return (start, end) if text.find(":", body, self.at) >= 0 or text[start:body].lower() == "mailto:" else None
 
 
 def _iban(code: str) -> bool:
@@ -176,36 +197,45 @@ def _account(text: str, cue: str, start: int, after: int) -> tuple[int, int] | N
     if start and text[start - 1] in _ALNUM:
         return None
     i = after
-    while i < len(text) and i < after + 4 and text[i] in " :#=.\"'":
+    while i < len(text) and i < after + GAP and text[i] in _BETWEEN:
         i += 1
     if i == after:
         return None
     if cue in SECRETS:
+        if not set("=:") & set(text[after:i]):  # asked first: no cue inside a value passes, so that a value is read once
+            return None
         end = _run(text, i, _SECRET)
         word = text[i:end]
-        good = set("=:") & set(text[after:i]) and len(word) >= 12 and any(c in _DIGITS for c in word) and any(c.isalpha() for c in word)
+        good = len(word) >= 12 and any(c in _DIGITS for c in word) and any(c.isalpha() for c in word)
         return (i, end) if good else None
-    end = _run(text, i, _ALNUM | frozenset("- "))
-    while end > i and text[end - 1] not in _ALNUM:
-        end -= 1
-    raw = text[i:end]
     if cue == "iban":
-        code, stop = "", i
-        for k, c in enumerate(raw):
-            if c in _ALNUM:
-                code += c.upper()
-                if len(code) > 34:
+        code, stop, k = "", i, i
+        while k < len(text) and len(code) <= VALUE and (text[k] in _ALNUM or text[k] in "- " and code and k - i < 3 * VALUE):
+            if text[k] in _ALNUM:
+                code += text[k].upper()
+                if len(code) == 4 and not (code[:2].isalpha() and code[2:].isdigit()):
                     break
                 if _iban(code):
-                    stop = i + k + 1
+                    stop = k + 1
+            k += 1
         return (i, stop) if stop > i else None
-    word = raw.split(" ", 1)[0].rstrip("-")
+    # up to the first blank: a cue in the middle of such a run has no separator after it
+    end = _run(text, i, _LABEL)
+    while end > i and text[end - 1] == "-":
+        end -= 1
+    word = text[i:end]
     digits = sum(c in _DIGITS for c in word)
     if cue == "ssn":
-        parts = word.split("-")
-        good = [len(p) for p in parts] == [3, 2, 4] and digits == 9 or len(word) == 9 == digits
-        return (i, i + len(word)) if good else None
-    return (i, i + len(word)) if 6 <= len(word) <= 34 and digits >= 4 else None
+        good = [len(p) for p in word.split("-")] == [3, 2, 4] and digits == 9 or len(word) == 9 == digits
+    else:
+        good = 6 <= len(word) <= VALUE and digits >= 4
+    return (i, end) if good else None
+
+
+def _lowered(text: str) -> str:
+    """``text`` with its letters lowered, as long as it was: the anchors' offsets are the text's."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -214,7 +244,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     base: list[tuple[int, int, str]] = []
     added: list[tuple[int, int, str]] = []
     email_end = dotted_end = card_end = phone_end = address_end = account_end = 0
-    for last, (what, size) in _anchors().iter(text):
+    low, urls = _lowered(text), _Urls(text)
+    for last, (what, size) in _anchors().iter(low):
         at = last - size + 1
         if what == "digit":
             if at >= dotted_end:
@@ -238,10 +269,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                 if hit[2]:
                     base.append((hit[0], hit[1], "phone"))
         elif what == "scheme":
-            if at >= address_end and (found := _address(text, at, last + 1)):
+            if at >= address_end and (found := urls.expand(at, last + 1)):
                 added.append((*found, "address"))
                 address_end = found[1]
-        elif at >= account_end and (found := _account(text, text[at : last + 1].lower(), at, last + 1)):
+        elif at >= account_end and (found := _account(text, low[at : last + 1], at, last + 1)):
             added.append((*found, "account"))
             account_end = found[1]
     order = lambda s: (s[0], RANK[s[2]], s[1])
@@ -253,22 +284,22 @@ def digest(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Every span of every whole text of ``docs`` (doc_id, text): one row a document, by streaming batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_PATTERNS), ("base_sha256", pa.string()), ("spans", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE_PATTERNS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
         for batch in slices(batches):
             rows = []
             for text in batch.column(1):
                 base, added = scan(text.as_py())
                 kinds = [k for _, _, k in base]
                 every = sorted(base + added, key=lambda s: (s[0], RANK[s[2]], s[1])) if added else base
-                rows.append((*(kinds.count(k) for k in BASE_PATTERNS), hashlib.sha256(digest(base).encode()).hexdigest(), digest(every)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+                rows.append((*(kinds.count(k) for k in BASE_PATTERNS), hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(every)))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(cols, list(schema)[1:], strict=True))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, FOUND)

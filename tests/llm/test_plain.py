@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -48,6 +49,22 @@ def test_pii_added_spans_and_mask():
     assert pii.mask(None) is None and pii.mask("") == ""
 
 
+def test_pii_any_case_and_wide_gaps():
+    assert pii.mask("Customer ID:     12345678 x") == "Customer ID:     <ACCOUNT> x"
+    assert pii.mask("API Key = abcdefgh12345") == "API Key = <ACCOUNT>" and pii.mask("aCCt #123456-7") == "aCCt #<ACCOUNT>"
+    assert pii.mask("HTTPS://me:pw@h/x. MAILTO:joe@x.org.") == "<ADDRESS>. <ADDRESS>."
+    assert pii.mask("\u0130 ssn 123-45-6789") == "\u0130 ssn <ACCOUNT>"  # lowering this letter alone would make the text longer
+    assert pii.mask("http://a/b@c http://http://u:p@h") == "http://a/b@c http://http://u:p@h"[:13] + "http://<ADDRESS>"
+
+
+@pytest.mark.parametrize("unit", ["ssn ", "http://", "mailto:", "token=", "token.", "iban ", "iban - ", "acct 12-", "ssh://@", "a@", "+1 ", "1."])
+def test_pii_time_grows_with_length(unit):
+    for tail in ("", "." * 50_000):
+        began = time.process_time()
+        pii.scan(unit * 200_000 + tail)
+        assert time.process_time() - began < 8
+
+
 @given(st.text("ab the  ing\n\té漢😀ñ1▁ _", max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_prefix_counts(t):
