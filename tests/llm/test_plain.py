@@ -158,9 +158,21 @@ def test_language_network():
     assert langid.Scorer(langid.train(["abc"], ["xx"])).texts(["q"])[0] == ("xx", 1.0)
 
 
-def test_large_products_are_exact():
-    q = np.array([[2**40, 1]])
-    assert knn._scores(q, np.array([[2**20, 3]]))[0, 0] == 2**60 + 3
+@pytest.mark.parametrize(("size", "exact"), [(50, True), (2**30, False), (2**58, False)])
+def test_best_scores_are_exact(size, exact):
+    rng = np.random.default_rng(3)
+    x = rng.integers(-size, size, (300, 4))
+    x[100:200] = x[0]
+    x[200:230] += rng.integers(0, 2, (30, 4))
+    ids = rng.permutation(300)
+    q, own = x[:20], ids[:20]
+    rows, found, scores, keys = knn._best(q, x, ids, own, 5, exact)
+    got = sorted(zip(rows, found, scores, strict=True))
+    want = []
+    for r in range(20):
+        s = sorted((-sum(a * b for a, b in zip(q[r].tolist(), x[c].tolist(), strict=True)), int(ids[c])) for c in range(300) if ids[c] != own[r])[:5]
+        want += [(r, i, min(knn.HIGH, max(knn.LOW, -v))) for v, i in s]
+    assert got == sorted(want) and (keys[0] is None) == exact
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json"])

@@ -196,21 +196,25 @@ def test_relative_links_of_every_tag(spark):
     assert {u: got[k] for k, u, _ in rows} == {u: "allow" if "ok.net" in u else "block" for _, u, _ in rows}
 
 
-def test_knn_by_brute_force(spark):
+@pytest.mark.parametrize("size", [0.2, 1e5, 4e5, 1e15])
+def test_knn_by_brute_force(spark, size):
     random.seed(9)
-    rows = [(k, [random.gauss(0, 0.2) for _ in range(6)], 0) for k in range(400)] + [(1000 + k, [0.5] * 6, 1) for k in range(300)]
-    rows += [(50_000, None, 0), (50_050, [None] * 6, 0), (50_100, [float("nan")] * 6, 0), (None, [0.1] * 6, 0), (50_150, [0.1], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    good = {r.vec_id: r.v for r in knn._whole(df.select("vec_id", "embedding"), 256).collect() if len(r.v) == 6}
+    around = [random.gauss(0, size) for _ in range(6)]
+    rows = [(k, [random.gauss(0, size) for _ in range(6)], 0) for k in range(300)] + [(1000 + k, [0.5 * size] * 6, 1) for k in range(200)]
+    rows += [(2000 + k, [c + random.gauss(0, 1) for c in around], 1) for k in range(200)]
+    rows += [(50_000, None, 0), (50_050, [None] * 6, 0), (50_100, [float("nan")] * 6, 0), (None, [0.1] * 6, 0), (50_150, [0.1] * 9, 0), (100, [0.3 * size] * 6, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "0 AS cell", "1 AS query_id", "2 AS score")
+    good = [(r.vec_id, tuple(r.v)) for r in knn._whole(df.select("vec_id", "embedding"), 256).collect() if len(r.v) == 6]
     old, knn.BLOCK = knn.BLOCK, 64
     try:
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in knn.top_k(df, pivots=8).collect())
     finally:
         knn.BLOCK = old
     want = []
-    for q in sorted(x for x in good if x % 50 == 0):
-        s = sorted((-sum(a * b for a, b in zip(good[q], good[x], strict=True)), x) for x in good if x != q)[:5]
-        want += [(q, k + 1, x, -v) for k, (v, x) in enumerate(s)]
+    for q in sorted({i for i, _ in good if i % 50 == 0}):
+        mine = min(v for i, v in good if i == q)
+        s = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in good if i != q)[:5]
+        want += [(q, k + 1, i, min(knn.HIGH, max(knn.LOW, -v))) for k, (v, i) in enumerate(s)]
     assert got == want
     assert knn.top_k(df.limit(0)).count() == 0 and knn.top_k(df.filter("vec_id IN (0, 1)")).count() == 1
 
