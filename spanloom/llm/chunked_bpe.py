@@ -38,12 +38,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import cut, partitions, slices
+from spanloom.llm.bits import Bits
+from spanloom.llm.common import cut, hot_keys, join_spread, partitions, slices
 
 #: Chunk sizes in bytes: no border before LEAST, one at MOST at the latest, one in 2**BITS places on average.
 LEAST, MOST, BITS = 96, 4096, 9
-#: Bits of the filter that finds the chunks' homes, at most (8 MB, broadcast).
-FILTER_BITS = 1 << 26
 _WINDOW = 32
 
 #: The pre-tokenizer's pattern (fixed value).
@@ -252,39 +251,9 @@ def chunk_table(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "text", "version").mapInArrow(run, "key long, version long, place int, digest binary")
 
 
-def _bits(keys: np.ndarray, versions: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """Three places in a filter of ``size`` bits (a power of two) for each chunk of a document: (3, n)."""
-    with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + versions.astype(np.uint64) + places.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ x >> np.uint64(30)) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        return np.stack([(x * np.uint64(2 * k + 3) >> np.uint64(30)) & np.uint64(size - 1) for k in range(3)])
-
-
-def home_filter(homes: DataFrame) -> np.ndarray:
-    """A filter over (key, version, place) that holds all of ``homes``: at most FILTER_BITS bits, whatever their number.
-
-    A full filter lets more chunks through than needed: they are encoded where they stand, as
-    the homes are, and do no harm.
-    """
-    n = homes.count()
-    size = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            at = np.unique(_bits(*(c.to_numpy() for c in batch.columns), size))
-            masks = np.uint64(1) << (at & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(masks.view(np.int64))], names=["word", "mask"])
-
-    words = homes.select("key", "version", "place").mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
-    out = np.zeros(size // 64, np.int64)
-    out[words["word"].to_numpy()] = words["mask"].to_numpy()
-    return out.view(np.uint64)
-
-
 def _encode_homes(path: str, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, table = coder(path), held.value
+        c, homes = coder(path), held.value
         for batch in slices(batches):
             digests, codes = [], []
             for key, version, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -293,9 +262,7 @@ def _encode_homes(path: str, held):
                 n = len(edges) - 1
                 if n < 2:
                     continue
-                at = _bits(np.full(n, key), np.full(n, version), np.arange(n), 64 * len(table))
-                hit = (table[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).all(0)
-                for k in np.flatnonzero(hit).tolist():
+                for k in np.flatnonzero(homes.holds(np.full(n, key), version ^ np.arange(n))).tolist():
                     part = data[edges[k] : edges[k + 1]]
                     digests.append(hashlib.blake2b(part, digest_size=16).digest())
                     codes.append(np.asarray(c.plain(part.decode()), np.uint16 if len(c.width) <= 65536 else np.int32).tobytes())
@@ -330,14 +297,16 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """One row a document of ``docs`` (doc_id, text): n_tokens, digests of its ids and of the text decoded from them; ``with_ids`` adds ids."""
     keyed = _keyed(docs)
     chunks = cut(chunk_table(keyed))
-    shared = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "version", "place")).alias("home")).filter("n > 1").select("digest", "home.*"))
-    held = docs.sparkSession.sparkContext.broadcast(home_filter(shared))
+    shared = cut(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "version", "place")).alias("home")).filter("n > 1").select("digest", "n", "home.*"))
+    held = docs.sparkSession.sparkContext.broadcast(Bits.of(shared.select("key", F.col("version").bitwiseXOR(F.col("place").cast("long")).alias("at"))))
     # homes are found and encoded where their documents are read: their texts do not move
     codes = keyed.select("key", "version", "text").mapInArrow(_encode_homes(path, held), "digest binary, codes binary")
     codes = codes.join(shared.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
     # the one exchange of the texts, compressed
     dealt = _packed(keyed).repartition(partitions(docs.sparkSession), "key", "version")
-    owned = chunks.join(codes, "digest").groupBy("key", "version").agg(F.collect_list(F.struct("place", "codes")).alias("shared"))
+    # a chunk that very many documents hold is joined by broadcast: 4,000 of them at most, of 8 kB at most
+    often = hot_keys(shared, "digest", "n", chunks.count())
+    owned = join_spread(chunks, codes, "digest", often).filter("codes IS NOT NULL").groupBy("key", "version").agg(F.collect_list(F.struct("place", "codes")).alias("shared"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return dealt.join(owned, ["key", "version"], "left").select("doc_id", "packed", "shared").mapInArrow(_encode_texts(path, with_ids), schema)
 

@@ -20,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a temporary folder made and set.
+    Only on a local master (tests, a laptop) is a temporary folder made and set where that is unset; on a cluster it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
     return sc.getCheckpointDir()
 
 
@@ -54,8 +57,36 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.base)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key is hot from this many rows on, or from this share of all rows: there are at most 1 / HOT_SHARE hot keys, whatever the data.
+HOT_ROWS, HOT_SHARE = 1000, 1 / 4000
+
+
+def hot_keys(counted: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys of ``counted`` (one row a key) that hold many rows: 4,000 at most, as each holds a 4,000th of all."""
+    return counted.filter(F.col(key).isNotNull() & (F.col(n) >= max(HOT_ROWS, total * HOT_SHARE))).select(key)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """Left join with ``right`` (one row a key), whose rows for the ``hot`` keys are broadcast: neither they nor null keys meet in one task."""
+    few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
+    many = left.join(F.broadcast(hot), key, "left_anti").filter(F.col(key).isNotNull()).join(right.hint("merge"), key, "left")
+    none = left.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key))
+    return left.join(few, key).unionByName(many).unionByName(none)
 
 
 def partitions(spark: SparkSession) -> int:

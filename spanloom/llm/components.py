@@ -24,7 +24,11 @@ def _jump(nodes: DataFrame, hooks: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node of ``edges`` (a, b) with the least node that it reaches. Self-loops and repeats are harmless; edges with a null end are left out."""
-    tables = Tables(edges.sparkSession)
+    with Tables(edges.sparkSession) as tables:
+        return _components(edges, tables)
+
+
+def _components(edges: DataFrame, tables: Tables) -> DataFrame:
     live = tables.step(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not live.isEmpty():
@@ -42,15 +46,11 @@ def components(edges: DataFrame) -> DataFrame:
         live = live.join(left.hint("merge"), "a", "left").join(right.hint("merge"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         live = tables.step(live.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not maps:
-        none = cut(live.select(F.col("a").alias("node"), F.col("b").alias("root")))
-        tables.drop()
-        return none
+        return cut(live.select(F.col("a").alias("node"), F.col("b").alias("root")))
     # later rounds move the roots of earlier ones
     found = maps[-1]
     for m in reversed(maps[:-1]):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("final"))
         found = m.join(later.hint("merge"), "root", "left").select("node", F.coalesce("final", "root").alias("root")).unionByName(found)
     roots = found.select(F.col("root").alias("node")).distinct()
-    out = cut(found.unionByName(roots.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))
-    tables.drop()
-    return out
+    return cut(found.unionByName(roots.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min("root").alias("root")))

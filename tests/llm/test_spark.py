@@ -10,7 +10,7 @@ import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from spanloom.llm import chunked_bpe, components, fingerprint, gam, knn, langid, mixing, neardup, pii, prefix_tokens, queries, sql, url_filter
+from spanloom.llm import chunked_bpe, common, components, fingerprint, gam, knn, langid, mixing, neardup, pii, prefix_tokens, queries, sql, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000
@@ -122,12 +122,45 @@ def test_near_duplicates_by_brute_force(spark, n, percent, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_large_families_by_brute_force(spark, monkeypatch):
+    """Large families by hubs and open buckets, small blocks, hot keys broadcast: the same components."""
+    random.seed(11)
+    chain = [f"c{k}" for k in range(300)]
+    data = [(k, " ".join(chain[3 * k : 3 * k + 60])) for k in range(70)]  # each like its neighbours only
+    base = [f"w{k}" for k in range(80)]
+    for g in range(110):
+        w = base[:]
+        for _ in range(random.randint(1, 9)):
+            w[random.randrange(80)] = f"e{random.randint(0, 30)}"
+        data.append((1000 + g, " ".join(w)))
+    data += [(2000 + k, "the very same words again and again in every copy") for k in range(60)]
+    random.shuffle(data)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "FAMILY", 20)
+    monkeypatch.setattr(common, "HOT_ROWS", 25)
+    monkeypatch.setattr(common, "HOT_SHARE", 0)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    got = neardup.assign(df, 3, 85, 7).collect()
+    want = brute_components(data, 3, 85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = {(r.doc_id, r.component_id, r.kept) for r in neardup.assign(extra(odd), 3, 85, 7).collect()}
     assert got == {(1, 1, True), (2, 2, True), (3, -8, False), (4, -8, False), (None, None, True), (5, 5, True), (6, 6, True), (7, 7, True), (-8, -8, True)}
-    kept = neardup.keep_one(odd, 3, 85, 7)
+    kept = neardup.keep_one(extra(odd), 3, 85, 7)
+    assert kept.columns == extra(odd).columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["-8", "1", "2", "5", "6", "7", "None"]
-    assert neardup.assign(odd.limit(0)).count() == 0
+    assert neardup.assign(odd.limit(0)).count() == 0 and neardup.keep_one(odd.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    a, b, c = "one two three four five six", "seven eight nine ten eleven twelve", "quite another text of seven words here"
+    df = spark.createDataFrame([(2, b), (5, a), (5, b), (9, a), (9, a), (1, c), (1, a + " x"), (7, c)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in neardup.assign(df, 3, 85, 7).collect()}
+    assert got == {(2, 2), (5, 2), (9, 2), (1, 1), (7, 1)}
+    # texts are what is thinned out: every distinct one stays, once
+    assert sorted((r.doc_id, r.text) for r in neardup.keep_one(df, 3, 85, 7).collect()) == sorted([(2, b), (5, a), (1, c), (1, a + " x")])
 
 
 def test_components(spark):
