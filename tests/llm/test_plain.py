@@ -71,6 +71,7 @@ def test_prefix_counts(t):
     model = prefix_tokens.pieces(PIECES)
     c = prefix_tokens.PrefixCounts(model, t)
     count = lambda s: len(model.model.encode(s))
+    assert model.table or not t
     assert c.total == count(t)
     for i in range(len(t) + 1):
         assert c.at(i) == count(t[:i])
@@ -187,5 +188,32 @@ def test_every_code_point_is_cut_alike(name):
 
 def test_sentencepiece_agrees_on_long_text():
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    t = "thererhendtion " * 3000
-    assert prefix_tokens.PrefixCounts(prefix_tokens.pieces(PIECES), t).total == len(model.encode(t))
+    random.seed(8)
+    solid = "".join(random.choice("ABCabc123+/=漢字é") for _ in range(60_000))
+    for t in ("thererhendtion " * 3000, solid, " " * 5000 + "a" * 70, "xyz" * 100 + " " + "xyz" * 20):
+        c = prefix_tokens.PrefixCounts(prefix_tokens.pieces(PIECES), t)
+        assert c.total == len(model.encode(t)) and all(len(k) <= prefix_tokens.LONGEST for k in c.pieces.table)
+
+
+def test_prefix_tables_at_every_code_point():
+    p = prefix_tokens.pieces(PIECES)
+    for lo in range(0, 0x30000, 512):
+        cs = [chr(x) for x in range(lo, lo + 512) if not 0xD800 <= x < 0xE000]
+        for t in ("".join(cs), " ".join(cs), "a".join(cs)):
+            assert prefix_tokens.PrefixCounts(p, t).total == len(p.model.encode(t))
+
+
+def test_small_memos_give_the_same(monkeypatch):
+    monkeypatch.setattr(prefix_tokens, "MEMO", 500)
+    monkeypatch.setattr(prefix_tokens, "PAIRS", 3)
+    p = prefix_tokens.Pieces(PIECES)
+    for t in ("the andor ing tion  the", "schaft und die leute", "the andor" * 9):
+        assert prefix_tokens.PrefixCounts(p, t).total == len(p.model.encode(t))
+
+
+def test_words_memo_is_bounded(monkeypatch):
+    monkeypatch.setattr(neardup, "MEMO", 2000)
+    words = neardup._Words()
+    for k in range(500):
+        words[f"word{k}".encode()], words[b"x" * 100_000]
+    assert len(words) < 30 and all(len(w) <= neardup.LONGEST for w in words)
