@@ -25,7 +25,7 @@ def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_rake_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanloom.llm import mixing
 
-    return mixing.weights(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"))
+    return mixing.weights(table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), targets=mixing.TARGETS)
 
 
 def op3_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries that SQL can express."""
 
+from spanloom.llm.mixing import REST, TARGETS
+
 KNN = """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -16,21 +18,31 @@ WITH whole AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-def rake_sql(rounds: int = 10, power: float = 0.7, keep: float = 0.8) -> str:
+def _target_sql(dim: str, named: dict[str, float] | None, power: float) -> str:
+    if named is None:
+        return f"of_{dim} AS (SELECT {dim} AS v, pow(CAST(sum(n) AS DOUBLE), {power}) AS raw FROM cells GROUP BY 1)"
+    cases = " ".join(f"WHEN v = '{v}' THEN CAST({s!r} AS DOUBLE)" for v, s in named.items())
+    over = max(REST, 1 - sum(named.values()))
+    return f"""of_{dim} AS (
+  SELECT v, coalesce(share, CAST({over!r} AS DOUBLE) * n / sum(n) FILTER (WHERE share IS NULL) OVER ()) AS raw
+  FROM (SELECT v, n, CASE {cases} END AS share FROM (SELECT {dim} AS v, CAST(sum(n) AS DOUBLE) AS n FROM cells GROUP BY 1)))"""
+
+
+def rake_sql(targets: dict[str, dict[str, float]] = TARGETS, rounds: int = 40, power: float = 0.7, keep: float = 0.8) -> str:
     """Raking as a chain of steps: every step scales the cells to the targets of one dimension."""
     steps = [
         """marked AS (
   SELECT doc_id, text, source, lang,
     CASE WHEN contains(text, ' | ') THEN 'tabular' WHEN coalesce(length(text), 0) < 600 THEN 'brief'
          WHEN coalesce(length(text), 0) < 3000 THEN 'article' ELSE 'long' END AS topic,
-    CAST(ceil(coalesce(octet_length(encode(text)), 0) / 4.0) AS BIGINT) AS n_tokens
+    CAST(coalesce(len(regexp_extract_all(text, '\\p{L}+|\\p{N}+|[^\\p{L}\\p{N} \\t\\n\\x0B\\f\\r]+')), 0) AS BIGINT) AS n_tokens
   FROM documents
 )""",
-        "cells AS (SELECT source, lang, topic, sum(n_tokens) AS n FROM marked GROUP BY ALL)",
+        "cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens) AS n FROM marked GROUP BY ALL)",
     ]
     for d in ("source", "lang", "topic"):
-        steps.append(f"of_{d} AS (SELECT {d} AS v, pow(CAST(sum(n) AS DOUBLE), {power}) AS raw FROM cells GROUP BY 1)")
-        steps.append(f"to_{d} AS (SELECT v, raw / (SELECT sum(raw) FROM of_{d}) AS t FROM of_{d})")
+        steps.append(_target_sql(d, targets.get(d), power))
+        steps.append(f"to_{d} AS MATERIALIZED (SELECT v, raw / (SELECT sum(raw) FROM of_{d}) AS t FROM of_{d})")
     steps.append("w0 AS (SELECT source, lang, topic, n / (SELECT sum(n) FROM cells) AS share, n / (SELECT sum(n) FROM cells) AS w FROM cells)")
     k = 0
     for _ in range(rounds):
@@ -41,6 +53,8 @@ def rake_sql(rounds: int = 10, power: float = 0.7, keep: float = 0.8) -> str:
                 f"JOIN m{k} ON w{k}.{d} IS NOT DISTINCT FROM m{k}.v JOIN to_{d} ON w{k}.{d} IS NOT DISTINCT FROM to_{d}.v)"
             )
             k += 1
+    off = " UNION ALL ".join(f"SELECT max(abs(m - t)) AS e FROM (SELECT {d} AS v, sum(w) AS m FROM w{k} GROUP BY 1) x JOIN to_{d} ON x.v IS NOT DISTINCT FROM to_{d}.v" for d in ("source", "lang", "topic"))
+    steps.append(f"errors AS (SELECT round(max(e), 6) AS marginal_error FROM ({off}))")
     steps.append(f"factors AS MATERIALIZED (SELECT *, CASE WHEN share > 0 THEN w / share ELSE 1.0 END AS factor FROM w{k})")
     steps.append(
         f"""levels AS (
@@ -53,9 +67,10 @@ def rake_sql(rounds: int = 10, power: float = 0.7, keep: float = 0.8) -> str:
         "WITH "
         + ",\n".join(steps)
         + """
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.weight, p.prob,
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, p.weight, p.prob, e.marginal_error,
   CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), d.text, '')), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < p.prob AS kept
 FROM marked d JOIN probs p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic IS NOT DISTINCT FROM p.topic
+CROSS JOIN errors e
 """
     )
 

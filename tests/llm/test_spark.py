@@ -180,23 +180,61 @@ def test_components(spark):
         assert got == {v: top(v) for p in pairs if p[0] != p[1] for v in p}
 
 
+def brute_rake(cells, targets, rounds):
+    w = dict(cells)
+    for _ in range(rounds):
+        for d, want in enumerate(targets):
+            mass = defaultdict(float)
+            for c, x in w.items():
+                mass[c[d]] += x
+            w = {c: x * want[c[d]] / mass[c[d]] if mass[c[d]] else 0.0 for c, x in w.items()}
+    return w
+
+
 def test_mixture(spark, odd):
     got = mixing.weights(extra(odd))
     assert got.count() == len(ODD) and all(0 <= r.prob <= 1 for r in got.collect())
     assert mixing.weights(odd.limit(0)).count() == 0
-    rows = [(k, "x" * 400, "en" if k % 10 else "fr", f"s{k % 3}", 400) for k in range(3000)]
+    rows = [(k, "x " * 100, "en" if k % 10 else "fr", f"s{k % 3}", 400) for k in range(3000)]
     df = spark.createDataFrame(rows, DOCS)
     out = mixing.weights(df, targets={"lang": {"fr": 0.3, "en": 0.7}}, keep=0.5).collect()
     kept = [r for r in out if r.kept]
     mass = sum(r.prob for r in out if r.lang == "fr") / sum(r.prob for r in out)
-    assert 0.44 < len(kept) / len(out) < 0.56 and mass > 0.15
-    assert mixing.sampled(df).columns == df.columns
+    assert 0.44 < len(kept) / len(out) < 0.56 and mass > 0.15 and {r.n_tokens for r in out} == {100} and out[0].marginal_error == 0
     small, mixing.CELLS = mixing.CELLS, 0
     try:
-        salted = {r.doc_id: r.kept for r in mixing.weights(df).collect()}
+        salted = {r.doc_id: (r.kept, r.prob) for r in mixing.weights(df, rounds=3).collect()}
     finally:
         mixing.CELLS = small
-    assert salted == {r.doc_id: r.kept for r in mixing.weights(df).collect()}
+    assert salted == {r.doc_id: (r.kept, r.prob) for r in mixing.weights(df, rounds=3).collect()}
+
+
+def test_raking_by_brute_force(spark):
+    random.seed(4)
+    cells = {(f"s{a}", b, c): random.randint(1, 900) for a in range(4) for b in ("en", "fr", None) for c in ("long", "brief") if random.random() < 0.8}
+    total = sum(cells.values())
+    share = {c: n / total for c, n in cells.items()}
+    named = {"lang": {"en": 0.6, "fr": 0.3, "xx": 0.4}, "topic": {"long": 0.5, "brief": 0.5}}
+    seen = [defaultdict(float) for _ in range(3)]
+    for c, n in cells.items():
+        for d in range(3):
+            seen[d][c[d]] += n
+    raw = [{v: n**0.7 for v, n in seen[0].items()}, {v: named["lang"].get(v, mixing.REST) for v in seen[1]}, {v: 0.5 for v in seen[2]}]
+    want = brute_rake(share, [{v: x / sum(r.values()) for v, x in r.items()} for r in raw], 40)
+    df = spark.createDataFrame([(*c, n) for c, n in cells.items()], "source string, lang string, topic string, n_tokens long")
+    got = {(r.source, r.lang, r.topic): r for r in mixing.rake(df, named, keep=0.6).collect()}
+    assert {c: round(w / share[c], 5) for c, w in want.items()} == {c: round(r.weight, 5) for c, r in got.items()}
+    assert abs(sum(r.prob * share[c] for c, r in got.items()) - 0.6) < 1e-4 and max(r.prob for r in got.values()) <= 1
+
+
+def test_mixture_keeps_columns_of_any_name(spark, odd):
+    from pyspark.sql import functions as F
+
+    wide = odd
+    for c in ("mix_topic", "mix_tokens", "to_lang", "its_lang", "n_tokens", "topic", "prob", "kept", "row", "weight", "salt", "a.b"):
+        wide = wide.withColumn(c, F.lit("mine"))
+    kept = mixing.sampled(wide, keep=1.0)
+    assert kept.columns == wide.columns and all(set(r[5:]) == {"mine"} for r in kept.collect()) and kept.count() == len(ODD)
 
 
 def test_urls(spark):
