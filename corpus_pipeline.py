@@ -31,7 +31,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by their cells' calibrated probabilities."""
-    return mixing.sampled(docs)
+    return mixing.sampled(docs, targets=mixing.TARGETS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
