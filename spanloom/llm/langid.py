@@ -3,15 +3,16 @@
 The network embeds each byte, runs filters of several widths over the embedded bytes of
 a fixed-length window, rectifies, takes each filter's greatest value over the window, and
 turns these into class probabilities (softmax). It is trained here, in numpy, with Adam, on a bounded, hash-chosen
-sample of labelled texts. Whole texts are scored: every window of a text is one row of a
-batch, and the text's score is the mean of its windows' log probabilities, weighted by their bytes.
+sample of windows of labelled texts, drawn from the whole length of each. Whole texts are scored: every window of a text is one row of a
+batch, and the text's score is the mean of its windows' log probabilities, weighted by their bytes. Windows are as long in training as in scoring.
 
 For scoring, embedding and filters are multiplied out into a table for each place of a filter
 (256 rows, one a byte), so a filter's response is a sum of table rows.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0. With no labelled
 text at all, every text is ``und``; with one language only, all texts with letters are of that language. Ties go to the
-language that comes first in alphabetical order.
+language that comes first in alphabetical order. Very long texts are scored whole, one without letters read to its end. Repeated rows give repeated
+results, and count once in training. An empty table gives an empty result. Columns other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import crc_mod
 
 #: Bytes of a window; filter widths and filters of each; size of a byte's embedding.
-WINDOW, WIDTHS, FILTERS, EMBED = 512, (2, 3, 4), 16, 8
+WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
 #: Training: labelled texts at most for each language, windows taken of each, passes, batch and step.
 SAMPLE, PER_TEXT, EPOCHS, BATCH, RATE = 400, 2, 6, 64, 0.01
-TRAIN_WINDOW = 192
 
 
 @dataclass
@@ -59,19 +59,14 @@ def windows(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
     return raw, np.maximum(lens, 1)
 
 
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Net | None:
-    """A network for the languages in ``langs``; None if there are none."""
+def train(pieces: list[bytes], langs: list[str], seed: int = 7) -> Net | None:
+    """A network for the languages in ``langs`` from windows (``pieces``, WINDOW bytes at most); None if there are none."""
     labels = sorted(set(langs))
     if not labels:
         return None
     rng = np.random.default_rng(seed)
-    rows, ys = [], []
-    for t, lang in zip(texts, langs, strict=True):
-        raw, lens = windows(t.encode(), TRAIN_WINDOW)
-        full = np.flatnonzero(lens >= min(TRAIN_WINDOW, lens.max()))
-        for k in rng.choice(full, min(PER_TEXT, len(full)), replace=False):
-            rows.append(raw[k])
-            ys.append(labels.index(lang))
+    rows = [windows(t[:WINDOW], WINDOW)[0][0] for t in pieces]
+    ys = [labels.index(lang) for lang in langs]
     x, y = np.array(rows), np.array(ys)
     c, f = len(labels), FILTERS
     p = {"e": rng.normal(0, 0.5, (256, EMBED)), "o": rng.normal(0, 0.2, (f * len(WIDTHS), c)), "ob": np.zeros(c)}
@@ -175,23 +170,27 @@ class Scorer:
         return out
 
 
-def sample(labelled: DataFrame, per_lang: int = SAMPLE) -> tuple[list[str], list[str]]:
-    """The starts of at most ``per_lang`` distinct texts of each language, those of least hash.
+def sample(labelled: DataFrame, per_lang: int = SAMPLE) -> tuple[list[bytes], list[str]]:
+    """Windows, ``PER_TEXT`` at most of each, of at most ``per_lang`` distinct texts of each language, those of least hash.
 
     Ranks go to distinct hashes, whatever the number of copies and empty texts: every language gets
     min(``per_lang``, its distinct texts). Only hashes are ranked; the second pass takes the texts up to the last rank's
-    hash, and copies of a text become one row before anything is gathered.
+    hash, cuts their windows at places chosen by hash over their whole length, and copies of a text become one row before anything is gathered.
     """
-    hashed = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("h", F.xxhash64("text", "lang"))
+    hashed = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     ranks = hashed.select("lang", "h").distinct().withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= per_lang)
     last = {r["lang"]: r["h"] for r in ranks.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not last:
         return [], []
     edges = F.create_map(*(F.lit(x) for pair in sorted(last.items()) for x in pair))
     few = hashed.filter(F.col("h") <= F.element_at(edges, F.col("lang")))
-    one = few.select("lang", "h", F.substring("text", 1, 8 * TRAIN_WINDOW).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
-    best = one.orderBy("lang", "h").collect()
-    return [r["text"] for r in best], [r["lang"] for r in best]
+    data = F.encode("text", "utf-8")
+    # whole windows only, where a text has one
+    n = F.greatest(F.lit(1), F.floor(F.octet_length("text") / WINDOW)).cast("int")
+    at = F.array_distinct(F.array(*(F.pmod(F.xxhash64("h", F.lit(k)), n).cast("int") for k in range(PER_TEXT))))
+    pieces = F.transform(at, lambda k: F.substring(data, k * WINDOW + 1, F.lit(WINDOW)))
+    best = few.select("lang", "h", pieces.alias("pieces")).groupBy("lang", "h").agg(F.min("pieces").alias("pieces")).orderBy("lang", "h").collect()
+    return [bytes(p) for r in best for p in r["pieces"]], [r["lang"] for r in best for _ in r["pieces"]]
 
 
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"

@@ -88,6 +88,13 @@ def _absolute(link: str) -> str:
     return f"CASE WHEN contains({link}, '://') THEN {link} WHEN {link} LIKE '//%' THEN scheme || ':' || {link} WHEN {link} LIKE '/%' THEN scheme || '://' || host || {link} END"
 
 
+_RULE = """CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END"""
+
 URLS = f"""
 WITH RECURSIVE parts AS (
   SELECT page_id, url, html, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), {_CASE}), '') AS host,
@@ -95,12 +102,7 @@ WITH RECURSIVE parts AS (
     CASE WHEN contains(url, '://') THEN {_node("url")} END AS node
   FROM pages
 ), ruled AS (
-  SELECT *, CASE
-    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
-    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
-    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
-    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
-    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  SELECT *, {_RULE} AS rule
   FROM parts
 ), tags AS (
   SELECT node, scheme, host, regexp_extract(html, '(?is)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0) AS link,
@@ -118,7 +120,9 @@ WITH RECURSIVE parts AS (
 ), reach AS (
   SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a
 ), bad AS (
-  SELECT DISTINCT node FROM ruled WHERE rule IN ('example.org/es/', 'example.org/en/1', 'com/de/')
+  SELECT node FROM ruled WHERE rule IN ('example.org/es/', 'example.org/en/1', 'com/de/')
+  UNION SELECT node FROM (SELECT b AS node, split_part(b, '/', 1) AS host, regexp_extract(b, '(?s)^[^/]*([^?]*)', 1) AS path FROM edges)
+  WHERE {_RULE} IN ('example.org/es/', 'example.org/en/1', 'com/de/')
 ), tainted AS (
   SELECT node FROM bad UNION SELECT r.node FROM reach r JOIN bad ON r.other = bad.node
 )

@@ -147,16 +147,80 @@ def test_gam_learns_and_interacts():
     assert np.isfinite(gam.describe(None)).all() and np.isfinite(gam.describe("x" * 200_000)).all()
 
 
+def brute_network(net, text):
+    """The network's definition, place by place, on every window of a text."""
+    data, total, mass = text.encode(), np.zeros(len(net.labels)), 0
+    for a in range(0, len(data), langid.WINDOW):
+        part = data[a : a + langid.WINDOW]
+        e = net.embed[np.frombuffer(part.ljust(langid.WINDOW, b"\0"), np.uint8)]
+        pooled = []
+        for f, bias in zip(net.filters, net.bias, strict=True):
+            z = [sum(e[i + k] @ f[k] for k in range(len(f))) + bias for i in range(len(e) - len(f) + 1)]
+            pooled.append(np.max(z, axis=0))
+        logit = np.maximum(np.concatenate(pooled), 0) @ net.out + net.out_bias
+        total += len(part) * (logit - np.log(np.exp(logit).sum()))
+        mass += len(part)
+    prob = np.exp(total / mass)
+    prob /= prob.sum()
+    return net.labels[int(prob.argmax())], float(prob.max())
+
+
+def test_network_by_brute_force():
+    random.seed(6)
+    make = lambda k: " ".join(random.choice(k) for _ in range(90))
+    kinds = {"aa": ["the", "and"], "bb": ["der", "schön"], "cc": ["ño", "que"]}
+    net = langid.train([make(w).encode() for w in kinds.values() for _ in range(20)], [k for k in kinds for _ in range(20)])
+    texts = [make(w) for w in kinds.values()] + ["x", "the schön " * 60]
+    for (label, p), t in zip(langid.Scorer(net).texts(texts), texts, strict=True):
+        want, q = brute_network(net, t)
+        assert label == want and abs(p - q) < 1e-4
+
+
+def brute_difference(a, b):
+    """Two digests bucket by bucket."""
+    x, y = bytes.fromhex(a), bytes.fromhex(b)
+    total = min(48, abs(x[0] - y[0])) + sum(min(12, abs(x[k] - y[k]) // 4) for k in (1, 2))
+    for p, q in zip(x[3:], y[3:], strict=True):
+        for k in range(4):
+            d = abs((p >> 2 * k) % 4 - (q >> 2 * k) % 4)
+            total += 6 if d == 3 else d
+    return total
+
+
+def brute_digest(data):
+    counts = [0] * 512
+    padded = data.ljust(12, b"\0") if data else b""
+    for i in range(len(padded) - 11):
+        for k, (p, q, r) in enumerate(fingerprint.TRIPLETS):
+            h = padded[i + p] | padded[i + q] << 8 | padded[i + r] << 16
+            counts[((h ^ h >> 11) * (0x9E3779B1 * (2 * k + 1) % 2**32) % 2**32) >> 23] += 1
+    s = sorted(counts)
+    q1, q2, q3 = s[127], s[255], s[383]
+    out = bytearray([min(255, int(12 * np.log2(len(data) + 1))), *((100 * q // q3) % 256 if q3 else 0 for q in (q1, q2))])
+    for k in range(0, 512, 4):
+        out.append(sum(((counts[k + m] > q1) + (counts[k + m] > q2) + (counts[k + m] > q3)) << 2 * m for m in range(4)))
+    return out.hex()
+
+
+@given(st.lists(st.text("ab cdé漢\n", max_size=60), min_size=2, max_size=2))
+@settings(max_examples=60, deadline=None)
+def test_digests_by_brute_force(texts):
+    a, b = (fingerprint.digest(t.encode()) for t in texts)
+    assert [a, b] == [brute_digest(t.encode()) for t in texts]
+    assert fingerprint.difference(a, b) == brute_difference(a, b)
+    assert fingerprint.likeness(a, b) == (1.0 if a == b else max(0.0, 1 - brute_difference(a, b) / (512 * 2 + 24 + 48)))
+
+
 def test_language_network():
     random.seed(1)
     words = {"aa": ["the", "and", "ing", "tion"], "bb": ["der", "und", "schaft", "keit"], "cc": ["los", "ción", "ñar", "que"]}
     make = lambda k: " ".join(random.choice(words[k]) for _ in range(60))
-    net = langid.train([make(k) for k in words for _ in range(60)], [k for k in words for _ in range(60)])
+    net = langid.train([make(k).encode() for k in words for _ in range(60)], [k for k in words for _ in range(60)])
     s = langid.Scorer(net)
     got = s.texts([make("aa"), make("bb"), make("cc"), None, "123 ...", ""])
     assert [g[0] for g in got] == ["aa", "bb", "cc", "und", "und", "und"]
     assert langid.train([], []) is None
-    assert langid.Scorer(langid.train(["abc"], ["xx"])).texts(["q"])[0] == ("xx", 1.0)
+    assert langid.Scorer(langid.train([b"abc"], ["xx"])).texts(["q"])[0] == ("xx", 1.0)
 
 
 @pytest.mark.parametrize(("size", "exact"), [(50, True), (2**30, False), (2**58, False)])

@@ -309,10 +309,87 @@ def test_sample_takes_distinct_texts(spark):
     own = spark.range(500).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.explode(F.array(F.lit("aa"), F.lit("bb"))).alias("lang"))
     few = spark.createDataFrame([("one", "cc"), ("one", "cc"), ("two", "cc"), (None, "dd"), ("x", None)], "text string, lang string")
     texts, langs = langid.sample(copies.unionByName(empty).unionByName(own).unionByName(few))
+    texts = [t.decode() for t in texts]
     assert {k: langs.count(k) for k in set(langs)} == {"aa": 400, "bb": 400, "cc": 2}
     assert len(set(zip(texts, langs, strict=True))) == len(texts) and langs == sorted(langs)
 
 
+def test_sample_reads_whole_texts(spark):
+    head, tail = "start " * 2000, "sequel " * 2000
+    rows = [(f"{head}{k} {tail}", "aa") for k in range(60)]
+    pieces, _ = langid.sample(spark.createDataFrame(rows, "text string, lang string"))
+    assert all(len(p) == langid.WINDOW for p in pieces)
+    assert 20 < sum(b"sequel" in p for p in pieces) < 100 and 20 < sum(b"start" in p for p in pieces)
+
+
+def brute_verdicts(rows):
+    """Pages judged with the standard library's parser and resolver, page by page."""
+    from html.parser import HTMLParser
+    from urllib.parse import urldefrag, urljoin
+
+    class Tags(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = []
+
+        def handle_starttag(self, tag, attrs):
+            a = dict(attrs)
+            if tag == "link" and "canonical" in (a.get("rel") or "").lower().split() and a.get("href"):
+                self.found.append(a["href"])
+            if tag == "meta" and (a.get("http-equiv") or "").lower() == "refresh" and "url=" in (a.get("content") or ""):
+                self.found.append(a["content"].split("url=")[1])
+
+    def name(url):
+        rest = urldefrag(url)[0].split("://", 1)[1]
+        cut = min([rest.find(c) for c in "/?" if c in rest] or [len(rest)])
+        return rest[:cut].lower() + (rest[cut:] if rest[cut:].startswith("/") else "/" + rest[cut:])
+
+    def own(url):
+        best = None
+        n = name(url)
+        host, path = n.split("/", 1)
+        for r in url_filter.RULES:
+            if (host == r.host or host.endswith("." + r.host)) and ("/" + path.split("?")[0]).startswith(r.path) and (best is None or len(r.name) > len(best.name)):
+                best = r
+        return best and best.verdict
+
+    up, bad = {}, set()
+
+    def top(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for _, url, html in rows:
+        t = Tags()
+        t.feed(html)
+        for h in t.found:
+            up[top(name(url))] = top(name(urljoin(url, h)))
+            bad |= {urljoin(url, h)} if own(urljoin(url, h)) == "block" else set()
+    bad = {top(name(u)) for u in bad | {u for _, u, _ in rows if own(u) == "block"}}
+    return {k: own(u) or ("block" if top(name(u)) in bad else "allow") for k, u, _ in rows}
+
+
+def test_redirects_by_brute_force(spark, monkeypatch):
+    random.seed(12)
+    hosts = ["a.example.org", "b.net", "c.com", "d.net", "e.net", "F.net"]
+    paths = ["/de/1", "/es/2", "/x", "/y/z", "/fr/3", "/", "/y/w", "/en/12"]
+    urls = [f"http://{random.choice(hosts)}{random.choice(paths)}" + random.choice(["", "?a=1", "?b=2"]) for _ in range(120)]
+    rows = []
+    for k, u in enumerate(urls):
+        link = random.choice([None, None, random.choice(urls), random.choice(paths), "z", "../x", "?a=1"])
+        html = "" if link is None else random.choice(['<link rel="canonical" href="{}">', "<meta http-equiv='refresh' content='0; url={}'>"]).format(link)
+        rows.append((k, u, "<html>" + html))
+    rows += [(1000 + k, "http://hot.net/", "") for k in range(40)] + [(2000, "http://b.net/q", '<link rel="canonical" href="http://hot.net/">'), (2001, "http://b.net/q", '<link rel="canonical" href="http://c.com/de/9">')]
+    want = brute_verdicts(rows)
+    assert set(want.values()) == {"allow", "block"} and want[1000] == "block"
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 0)
+    df = extra(spark.createDataFrame(rows + [(3000 + k, None, None) for k in range(30)], "page_id long, url string, html string"))
+    got = {r.page_id: r.verdict for r in url_filter.judge(df).collect()}
+    assert {k: v for k, v in got.items() if k < 3000} == want and {v for k, v in got.items() if k >= 3000} == {"allow"}
+
+
 @pytest.mark.parametrize("name", sorted(sql.ORACLES))
 def test_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
