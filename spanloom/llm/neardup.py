@@ -278,20 +278,20 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, percent: int, signer: Si
     met = join_spread(banded, sizes, "band", hot_keys(sizes, "band", "size", signer.bands * classes.count())).filter("hub IS NOT NULL")
     met = cut(met.select("band", "node", "hub"))
     families = components(met.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    # the sets of the documents that stand for these classes are made again where the documents are read: no other text moves
-    ours = classes.join(families.select("node").hint("merge"), "node", "left_semi")
+    per_family = cut(families.groupBy("root").agg(F.count(F.lit(1)).alias("members")))
+    sized = join_spread(families, per_family, "root", hot_keys(per_family, "root", "members", families.count()))
+    ours = cut(classes.drop("bands").join(sized.hint("merge"), "node"))
+    # the sets of the documents that stand for these classes are made again where the documents are read: no other text moves.
+    # They get their family on the way, so that each is sent once more, to its family, and only large ones beyond that
     held = spark.sparkContext.broadcast(Bits.of(ours.select(F.col("best.doc_id").alias("doc_id"), F.col("best.h").alias("h"))))
     made = _named(docs).mapInArrow(_members(n, signer, held), "kind binary, found binary, sign binary").dropDuplicates(["kind"])
-    known = cut(ours.select("kind", "node").join(made.hint("merge"), "kind").select("node", "found", "sign"))
-    per_family = cut(families.groupBy("root").agg(F.count(F.lit(1)).alias("members")))
-    small = families.join(per_family.filter(F.col("members") <= FAMILY).hint("merge"), "root").select("node", "root")
-    whole = known.join(small.hint("merge"), "node").select("root", "node", F.col("node").alias("comp"), F.lit(2).alias("side"), "found", "sign")
+    every = cut(made.hint("merge").join(ours.select("kind", "node", "root", "members"), "kind").select("node", "root", "members", "found", "sign"))
+    whole = every.filter(F.col("members") <= FAMILY).select("root", "node", F.col("node").alias("comp"), F.lit(2).alias("side"), "found", "sign")
     links = whole.groupBy("root").applyInArrow(compare, "a long, b long")
-    large = per_family.filter(F.col("members") > FAMILY)
-    if large.isEmpty():
+    if per_family.filter(F.col("members") > FAMILY).isEmpty():
         return cut(links)
-    big = join_spread(families, large, "root", hot_keys(large, "root", "members", families.count())).filter("members IS NOT NULL").select("node")
-    inside = cut(met.join(big.hint("merge"), "node", "left_semi"))
+    known = every.filter(F.col("members") > FAMILY).select("node", "found", "sign")
+    inside = cut(met.join(sized.filter(F.col("members") > FAMILY).select("node").hint("merge"), "node", "left_semi"))
     # every member with its buckets' hubs, a hub's members dealt in blocks
     pairs = cut(inside.filter("node <> hub").select("hub", "node").distinct())
     fans = cut(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / (4 * BLOCK)).cast("int")))
