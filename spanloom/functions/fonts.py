@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ STYLE_OF_FAMILY = {
 
 
 def _holds(font: Column, marks: tuple[str, ...]) -> Column:
-    return font.rlike("|".join(marks))
+    return functools.reduce(operator.or_, (font.contains(m) for m in marks))
 
 
 def is_text(font: Column) -> Column:

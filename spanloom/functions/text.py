@@ -46,6 +46,10 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{S}+|{S}+$", "")
 
 
+def is_blank(text: Column) -> Column:
+    return ~text.rlike("[^ \\t\\n\\r\\f]")
+
+
 def is_page_number(text: Column) -> Column:
     return strip(text).rlike("^[0-9]{1,3}$")
 

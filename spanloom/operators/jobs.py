@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Seconds a job is kept, jobs at once, bytes of an upload, progress steps.
@@ -34,16 +36,33 @@ def expired(jobs: DataFrame, now: Column, ttl: int = TTL) -> DataFrame:
     return jobs.filter(F.col("created") < now - F.expr(f"INTERVAL {ttl} SECONDS"))
 
 
-def admission(events: DataFrame, servers: int = 8, active: int = ACTIVE) -> DataFrame:
-    """For each submission on its server: jobs active just before it, and whether it is let in.
+def admission(events: DataFrame, servers: int = 8, active: int = ACTIVE, ttl: int = TTL) -> DataFrame:
+    """For each submission on its server: jobs active just before it, and whether it is let in. A refused submission never becomes active.
 
-    Activity is a running sum of starts and ends along the server's log.
+    Whether a submission counts depends on those before it, so a server's log is a fold: rows of a server stream in order, and
+    the state is the set of its active jobs, ``active`` of them at most. A submission first drops jobs of more than ``ttl`` seconds, running or not;
+    an end of a job that is not active changes nothing.
     """
     e = events.filter(F.col("user_id").isNotNull() & F.col("event_type").isin("signup", "purchase", "error"))
-    e = e.withColumn("server", F.pmod(F.col("user_id"), F.lit(servers))).withColumn("delta", F.when(F.col("event_type") == "signup", 1).otherwise(-1))
-    w = W.partitionBy("server").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
-    n = F.greatest(F.coalesce(F.sum("delta").over(w), F.lit(0)), F.lit(0))
-    return e.withColumn("n_active", n).filter("event_type = 'signup'").select("event_id", "server", "n_active", (F.col("n_active") < active).alias("admitted"))
+    e = e.select(F.pmod(F.col("user_id"), F.lit(servers)).cast("int").alias("server"), "ts", "event_id", "user_id", (F.col("event_type") == "signup").alias("asks"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        server, live = None, {}
+        for pdf in frames:
+            out = []
+            for s, ts, i, job, asks in zip(*(pdf[c] for c in ("server", "ts", "event_id", "user_id", "asks")), strict=True):
+                if s != server:
+                    server, live = s, {}
+                if asks:
+                    live = {k: t for k, t in live.items() if (ts - t).total_seconds() <= ttl}
+                    out.append((i, s, len(live), len(live) < active))
+                    if len(live) < active:
+                        live[job] = ts
+                else:
+                    live.pop(job, None)
+            yield pd.DataFrame(out, columns=["event_id", "server", "n_active", "admitted"])
+
+    return e.repartition(servers, "server").sortWithinPartitions("server", "ts", "event_id").mapInPandas(run, "event_id long, server int, n_active int, admitted boolean")
 
 
 def acceptable(name: Column, size: Column) -> Column:

@@ -1,254 +1,364 @@
-"""From fragments to lines: grouping, clustering, merging, templates.
+"""From raw lines to lines: grouping, clustering, merging, templates.
 
-Relational forms are keyed by (doc_id, line_seq, ...), so they reuse the lift's dealing by doc_id. The exact,
-order-dependent fold over the raw lines of a block is ``merge_raw_lines``.
+The unit of work is a block of a page with its raw lines as a nested column (``raws``: raw_no, spans, box), as parsers give it.
+What depends on order inside a block (first fit, attachment) is a fold over that column, evaluated in the
+row: no join, no window and no exchange before lines are rows, and a block costs what its own lines cost.
 """
 
 from __future__ import annotations
 
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions import fonts, text
+from spanloom.functions import fonts, nested, text
+from spanloom.functions.nested import let
 
-LINE = ("doc_id", "page_idx", "block_no", "line_seq")
-#: Gap in x that parts clusters, members of a merged cluster at most, and width of the left margin.
-X_GAP, CLUSTER_MOST, MARGIN = 8, 8, 15
+BLOCK = ("doc_id", "page_idx", "block_no")
+KEY = (*BLOCK, "line_no")
+#: Gap in x that parts clusters, members of a merged cluster at most, width of the left margin, reach of tall symbols.
+X_GAP, CLUSTER_MOST, MARGIN, TALL_REACH = 8, 8, 15, 20
+#: Distance in y, and in x from the first mathematics, at which a line of mathematics alone is attached.
+NEAR_Y, NEAR_X = 20, 15
+SPAN = "struct<text:string,font:string,size:double,x0:double,y0:double,x1:double,y1:double,oy:double>"
 
 
-def fragments(spans: DataFrame) -> DataFrame:
-    """Raw lines: box, core range of y (extension fonts left out), and what their spans are."""
-    tall = F.col("font").contains("CMEX")
-    core0, core1 = F.min(F.when(~tall, F.col("y0"))), F.max(F.when(~tall, F.col("y1")))
-    return spans.groupBy(*LINE, "frag").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.coalesce(core0, F.avg("oy") - 3).alias("core_y0"), F.coalesce(core1, F.avg("oy") + 3).alias("core_y1"),
-        F.bool_or(fonts.is_text(F.col("font"))).alias("has_text"), F.bool_and(tall).alias("cmex_only"), F.avg("oy").alias("mean_oy"), F.count(F.lit(1)).alias("n_spans"),
-    )
+def _tall(s: Column) -> Column:
+    return s.font.contains("CMEX")
 
 
-def on_line(frags: DataFrame) -> DataFrame:
-    """Fragments that overlap the text of their visual line by half their height: those not raised by 8."""
-    return frags.filter("has_text OR (y0 - 72 + 3) % 18 = 0")
+def _is_text(s: Column) -> Column:
+    return fonts.is_text(s.font)
 
 
-def x_clusters(frags: DataFrame) -> DataFrame:
-    """A visual line's fragments in clusters: one begins where the gap to the fragment before (not to all before) is wide."""
-    w = W.partitionBy(*LINE).orderBy("x0", "frag")
-    gap = F.coalesce((F.col("x0") - F.lag("x1").over(w) >= X_GAP).cast("int"), F.lit(0))
-    return frags.withColumn("gap", gap).withColumn("cluster", F.sum("gap").over(w).cast("int")).drop("gap")
+def cored(raws: Column) -> Column:
+    """Raw lines with their core range of y (tall symbols left out, unless alone) and what their spans are."""
 
+    def one(r: Column) -> Column:
+        low = F.filter(r.spans, lambda s: ~_tall(s))
+        mean = nested.total(r.spans, lambda s: s.oy) / F.size(r.spans)
+        return F.struct(
+            *(r[c].alias(c) for c in ("raw_no", "spans", "x0", "y0", "x1", "y1")),
+            F.coalesce(nested.least(low, lambda s: s.y0), mean - 3).alias("c0"), F.coalesce(nested.most(low, lambda s: s.y1), mean + 3).alias("c1"), mean.alias("mean_oy"),
+            F.exists(r.spans, _is_text).alias("has_text"), F.forall(r.spans, _tall).alias("tall"),
+        )
 
-def guarded(clusters: DataFrame) -> DataFrame:
-    """Clusters' members with the guard's verdict: few members, text among them, one text at the left margin at most."""
-    w = W.partitionBy(*LINE, "cluster")
-    c = clusters.withColumn("left", F.min("x0").over(w))
-    at_margin = F.sum(((F.col("x0") < F.col("left") + MARGIN) & F.col("has_text")).cast("int")).over(w)
-    n = F.count(F.lit(1)).over(w)
-    ok = (n <= CLUSTER_MOST) & F.bool_or("has_text").over(w) & (at_margin <= 1)
-    return c.withColumn("n_members", n).withColumn("n_margin", at_margin).withColumn("merged", (n > 1) & ok).drop("left")
+    return F.transform(F.filter(raws, lambda r: F.size(r.spans) > 0), one)
 
 
-def line_parts(spans: DataFrame) -> DataFrame:
-    """Spans of merged lines: ``part`` tells the lines of one visual line apart. Spans that ``folded`` gave have it already."""
-    if "part" in spans.columns:
-        return spans
-    parts = guarded(x_clusters(on_line(fragments(spans)))).select(*LINE, "frag", F.when(F.col("merged"), 100 * F.col("cluster")).otherwise(100 * F.col("cluster") + F.col("frag") + 1).alias("part"))
-    return spans.join(parts, [*LINE, "frag"])
+def overlaps(a: Column, b: Column) -> Column:
+    """Half of the lower one's height or more in common."""
+    height = F.least(a.c1 - a.c0, b.c1 - b.c0)
+    return F.coalesce((height > 0) & (2 * (F.least(a.c1, b.c1) - F.greatest(a.c0, b.c0)) >= height), F.lit(False))
 
 
-def math_runs(parts: DataFrame) -> DataFrame:
-    """Numbers the runs of mathematics of each line from 0 (``run``) and the spans in a run (``run_pos``)."""
-    w = W.partitionBy(*LINE, "part").orderBy("x0", "span_no")
-    begins = ~F.col("is_text") & F.coalesce(F.lag("is_text").over(w), F.lit(True))
-    out = parts.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("int")).over(w) - 1)
-    inside = W.partitionBy(*LINE, "part", "run", "is_text").orderBy("x0", "span_no")
-    return out.withColumn("run_pos", F.when(~F.col("is_text"), F.row_number().over(inside) - 1))
+def y_groups(rows: Column) -> Column:
+    """Groups of the places of ``rows`` (cored): first fit against each group's first member; lines of tall symbols
+    alone join the group of the line next to them in x, if that is near."""
+
+    def into(groups: Column, k: Column, i: Column, c0: Column, c1: Column) -> Column:
+        """``groups`` with place ``i`` in group ``k``, or in a new one where k is null."""
+        grown = F.transform(groups, lambda g, n: F.struct(g.c0.alias("c0"), g.c1.alias("c1"), F.when(n == k, F.concat(g.m, F.array(i))).otherwise(g.m).alias("m")))
+        fresh = F.concat(groups, F.array(F.struct(c0.alias("c0"), c1.alias("c1"), F.array(i).alias("m"))))
+        return F.when(k.isNull(), fresh).otherwise(grown).cast(kind)
+
+    def fit(groups: Column, i: Column) -> Column:
+        r = F.get(rows, i)
+        return let(F.array_position(F.transform(groups, lambda g: overlaps(r, g)), F.lit(True)), lambda at: into(groups, F.when(at > 0, at.cast("int") - 1), i, r.c0, r.c1))
 
+    def reach(groups: Column, i: Column) -> Column:
+        r = F.get(rows, i)
+        gap = lambda m: F.least(F.abs(r.x0 - m.x1), F.abs(m.x0 - r.x1))
+        near = F.flatten(F.transform(groups, lambda g, n: F.transform(g.m, lambda j: F.struct(gap(F.get(rows, j)).alias("gap"), n.alias("n")))))
+        return let(F.array_min(near), lambda b: into(groups, F.when(b.gap < TALL_REACH, b.n), i, r.c0, r.c1))
 
-def _joined(order: list[str], part) -> F.Column:
-    rows = F.array_sort(F.collect_list(F.struct(*order, part.alias("piece"))))
-    return F.array_join(F.transform(rows, lambda r: r.piece), "")
+    kind = "array<struct<c0:double,c1:double,m:array<int>>>"
+    flat = lambda tall: F.filter(nested.indexes(rows), lambda i: F.get(rows, i).tall == tall)
+    fitted = F.aggregate(flat(False), F.array().cast(kind), fit)
+    return F.transform(F.aggregate(flat(True), fitted, reach), lambda g: g.m)
 
 
-def style_runs(parts: DataFrame) -> DataFrame:
-    """Runs of one style over a line's text spans (mathematics neither counts nor breaks one): run_idx, n, style."""
-    t = parts.filter("is_text").withColumn("style", fonts.style(F.col("font")))
-    w = W.partitionBy(*LINE, "part").orderBy("x0", "span_no")
-    t = t.withColumn("turn", F.coalesce((F.col("style") != F.lag("style").over(w)).cast("int"), F.lit(0)))
-    t = t.withColumn("run_idx", F.sum("turn").over(w).cast("int"))
-    return t.groupBy(*LINE, "part", "run_idx").agg(F.sum(F.length("text")).alias("n"), F.first("style").alias("style"))
+def clusters(rows: Column, group: Column) -> Column:
+    """A group's places in order of x, cut where the gap to the line before (not to all before) is wide."""
+    order = F.array_sort(F.transform(group, lambda i, p: F.struct(F.get(rows, i).x0.alias("x0"), p.alias("p"), i.alias("i"), F.get(rows, i).x1.alias("x1"))))
+    return F.transform(nested.runs(order, lambda a, b: b.x0 - a.x1 >= X_GAP), lambda c: F.transform(c, lambda e: e.i))
 
 
-def dominant_style(parts: DataFrame) -> DataFrame:
-    """The style of most characters of a line's text spans; the one seen first on a tie, regular without any."""
-    seen = parts.filter(F.col("is_text") & (text.strip(F.col("text")) != "")).groupBy(*LINE, "part", fonts.style(F.col("font")).alias("style")).agg(F.sum(F.length("text")).alias("n"), F.min("x0").alias("first"))
-    return seen.groupBy(*LINE, "part").agg(F.max_by("style", F.struct("n", -F.col("first"))).alias("font_style"))
+def guard(rows: Column, cluster: Column) -> Column:
+    """(n_members, n_margin, merged) of a cluster: merged if it has few members, text among them, one text at the left margin at most."""
+    members = nested.picked(rows, cluster)
+    left = nested.least(members, lambda r: r.x0)
+    at_margin = let(left, lambda x: F.size(F.filter(members, lambda r: r.has_text & (r.x0 < x + MARGIN))))
+    ok = (F.size(cluster) <= CLUSTER_MOST) & F.exists(members, lambda r: r.has_text) & (at_margin <= 1)
+    return F.struct(F.size(cluster).alias("n_members"), at_margin.alias("n_margin"), ((F.size(cluster) > 1) & ok).alias("merged"))
 
 
-def lines(spans: DataFrame) -> DataFrame:
-    """One row a line: template, counts, box, sizes and style; lines without text, or of digits and marks only, are left out."""
-    parts = math_runs(line_parts(spans))
-    order = [F.col("x0"), F.col("span_no")]
-    first_text = F.struct("x0", "span_no")
-    visible = F.col("is_text") & (text.strip(F.col("text")) != "")
-    piece = F.when(F.col("is_text"), F.col("text")).when(F.col("begins"), F.concat(F.lit("{M"), F.col("run").cast("string"), F.lit("}"))).otherwise("")
-    out = parts.groupBy(*LINE, "part").agg(
-        _joined(order, piece).alias("template"), _joined(order, F.when(F.col("is_text"), F.col("text")).otherwise("")).alias("text_only"),
-        F.sum(F.col("begins").cast("int")).alias("n_math"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.min_by("size", first_text).alias("first_size"),
-        F.coalesce(F.min_by(F.when(visible, F.col("size")), F.when(visible, first_text)), F.min_by("size", first_text)).alias("font_size"),
-        F.coalesce(F.min_by(F.when(visible, F.col("oy")), F.when(visible, first_text)), F.max("y1")).alias("baseline"),
-    )
-    styles = dominant_style(parts)
-    kept = out.filter((text.strip(F.col("text_only")) != "") & ~text.is_numeric_only(F.col("text_only")))
-    return kept.join(styles, [*LINE, "part"], "left").withColumn("font_style", F.coalesce("font_style", F.lit("regular"))).drop("text_only")
+def merged_places(rows: Column, groups: Column) -> Column:
+    """(group, places) of a block's lines, in their order."""
 
+    def of(group: Column, n: Column) -> Column:
+        line = lambda places: F.struct(n.alias("y_group"), places.alias("m"))
+        return F.flatten(F.transform(clusters(rows, group), lambda c: F.when(guard(rows, c).merged, F.array(line(c))).otherwise(F.transform(c, lambda i: line(F.array(i))))))
 
-def with_math(spans: DataFrame) -> DataFrame:
-    """Spans of visual lines that hold any mathematics: a few hundredths of a text, and all that such operators look at."""
-    w = W.partitionBy(*LINE)
-    return spans.withColumn("any_math", F.bool_or(~F.col("is_text")).over(w)).filter("any_math").drop("any_math")
+    return F.flatten(F.transform(groups, of))
 
 
-def attach_math(spans: DataFrame) -> DataFrame:
-    """Raw lines of mathematics alone, each with the line of its block whose middle is nearest (under 20 away) and whose first mathematics is near in x."""
-    spans = with_math(spans)
-    parts = math_runs(line_parts(spans))
-    first_math = parts.filter("NOT is_text AND run = 0").groupBy(*LINE, "part").agg(F.min("x0").alias("math_x0"))
-    known = parts.groupBy(*LINE, "part").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.bool_or("is_text").alias("t")).filter("t").join(first_math, [*LINE, "part"])
-    known = known.select("doc_id", "page_idx", "block_no", F.col("line_seq").alias("to_line"), F.col("part").alias("to_part"), ((F.col("y0") + F.col("y1")) / 2).alias("mid"), "math_x0")
-    alone = fragments(spans).filter("NOT has_text AND (frag >= 1000 OR (y0 - 72 + 3) % 18 <> 0)")
-    alone = alone.select(*LINE, "frag", F.col("x0"), ((F.col("y0") + F.col("y1")) / 2).alias("own_mid"))
-    near = alone.join(known, ["doc_id", "page_idx", "block_no"]).filter((F.abs(F.col("own_mid") - F.col("mid")) < 20) & (F.abs(F.col("x0") - F.col("math_x0")) < 15))
-    return near.groupBy(*LINE, "frag").agg(F.min_by(F.struct("to_line", "to_part"), F.struct(F.abs(F.col("own_mid") - F.col("mid")), "to_line", "to_part")).alias("t")).select(*LINE, "frag", "t.*")
+def _line(rows: Column, place: Column) -> Column:
+    """A line of one raw line or several: spans (of several: by x), box, and what decides its fate."""
+    members = nested.picked(rows, place.m)
+    spread = F.flatten(F.transform(place.m, lambda i, p: F.transform(F.get(rows, i).spans, lambda s, q: F.struct(s.x0.alias("x0"), p.alias("p"), q.alias("q"), s.alias("s")))))
+    spans = F.when(F.size(place.m) == 1, F.get(rows, F.get(place.m, F.lit(0))).spans).otherwise(F.transform(F.array_sort(spread), lambda e: e.s))
+    box = ((lambda c, f: f(members, lambda r: r[c]).alias(c))(c, f) for c, f in (("x0", nested.least), ("y0", nested.least), ("x1", nested.most), ("y1", nested.most)))
+    return F.struct(spans.alias("spans"), *box)
 
 
-# -- the exact fold ---------------------------------------------------------
+def _words(spans: Column) -> Column:
+    return F.array_join(F.transform(F.filter(spans, _is_text), lambda s: s.text), "")
 
 
-class Raw:
-    """A raw line in a fold: its box, core range and what it is made of."""
+def _judged(line: Column) -> Column:
+    """A line with its fate: ``kept``, ``math`` (no text, but mathematics) or neither, its first run of mathematics and where that begins."""
+    maths = nested.runs(line.spans, lambda a, b: _is_text(a) != _is_text(b))
 
-    __slots__ = ("number", "x0", "y0", "x1", "y1", "c0", "c1", "has_text", "cmex_only")
+    def fate(t: Column, first: Column) -> Column:
+        blank, marks = text.is_blank(t), first.isNotNull()
+        return F.struct(
+            *(line[c].alias(c) for c in ("spans", "x0", "y0", "x1", "y1")), first.alias("first"),
+            (~blank & ~text.is_numeric_only(t)).alias("kept"), (blank & marks).alias("alone"),
+        )
 
-    def __init__(self, number, x0, y0, x1, y1, c0, c1, has_text, cmex_only):
-        self.number, self.x0, self.y0, self.x1, self.y1 = number, x0, y0, x1, y1
-        self.c0, self.c1, self.has_text, self.cmex_only = c0, c1, has_text, cmex_only
+    has = F.exists(line.spans, lambda s: ~_is_text(s))
+    first = F.when(has, F.get(F.filter(maths, lambda run: ~_is_text(F.get(run, F.lit(0)))), F.lit(0)))
+    return let(first, lambda f: let(_words(line.spans), lambda t: fate(t, f)))
 
 
-def overlaps(a: Raw, b: Raw) -> bool:
-    """Half of the lower one's height or more in common."""
-    height = min(a.c1 - a.c0, b.c1 - b.c0)
-    return height > 0 and 2 * (min(a.c1, b.c1) - max(a.c0, b.c0)) >= height
-
-
-def group_by_y(rows: list[Raw]) -> list[list[Raw]]:
-    """First fit against each group's first member; lines of tall symbols alone join the group next to them in x, if it is near."""
-    groups: list[list[Raw]] = []
-    for r in (r for r in rows if not r.cmex_only):
-        home = next((g for g in groups if overlaps(r, g[0])), None)
-        if home is None:
-            groups.append([r])
-        else:
-            home.append(r)
-    for r in (r for r in rows if r.cmex_only):
-        reach = [min(min(abs(r.x0 - m.x1), abs(m.x0 - r.x1)) for m in g) for g in groups]
-        if reach and min(reach) < 20:
-            groups[reach.index(min(reach))].append(r)
-        else:
-            groups.append([r])
-    return groups
-
-
-def clusters_of(group: list[Raw]) -> list[list[Raw]]:
-    out: list[list[Raw]] = []
-    for r in sorted(group, key=lambda r: r.x0):
-        if out and r.x0 - out[-1][-1].x1 < X_GAP:
-            out[-1].append(r)
-        else:
-            out.append([r])
-    return out
-
-
-def mergeable(cluster: list[Raw]) -> bool:
-    left = min(r.x0 for r in cluster)
-    near = sum(r.has_text and r.x0 < left + MARGIN for r in cluster)
-    return 1 < len(cluster) <= CLUSTER_MOST and any(r.has_text for r in cluster) and near <= 1
-
-
-def merged_order(rows: list[Raw]) -> list[list[Raw]]:
-    """The lines of a block, each a list of the raw lines that it is made of."""
-    if len(rows) <= 1:
-        return [[r] for r in rows]
-    out: list[list[Raw]] = []
-    for g in group_by_y(rows):
-        if len(g) == 1:
-            out.append(g)
-            continue
-        for c in clusters_of(g):
-            out += [c] if mergeable(c) else [[r] for r in c]
-    return out
-
-
-MERGED = "doc_id long, page_idx int, block_no int, line_seq int, frag int, line_no int, y_group int"
-
-
-def _folded(block: tuple, rows: list[tuple]) -> list[tuple]:
-    """Output rows of one block; ``rows`` hold line_seq and frag, then what ``Raw`` takes."""
-    # in the order of the source: a small line over another comes right after it
-    rows.sort(key=lambda r: (r[0], r[1] % 1000, r[1] // 1000))
-    raws = [Raw(k, *r[2:]) for k, r in enumerate(rows)]
-    group_no = {m.number: g for g, members in enumerate(group_by_y(raws)) for m in members}
-    return [(*block, *rows[m.number][:2], n, group_no[m.number]) for n, line in enumerate(merged_order(raws)) for m in line]
-
-
-def merge_raw_lines(frags: DataFrame) -> DataFrame:
-    """The exact fold: each raw line (fragment) with the number of the line of its block that it ends up in, and of its y-group.
-
-    Rows stream through Arrow batches, block after block; a worker holds one block of a page.
+def attachments(lines: Column) -> Column:
+    """(line_no, to_line) of lines of mathematics alone, one after the other: to the line kept of the block that holds mathematics, whose
+    middle is nearest (the first, on a tie), and whose first mathematics is near in x. What was attached comes first from then on."""
+    ends = F.array().cast("array<struct<line_no:int,to_line:int>>")
+    homes = F.filter(F.transform(lines, lambda l, n: F.struct(n.alias("n"), ((l.y0 + l.y1) / 2).alias("mid"), F.get(l.first, F.lit(0)).x0.alias("x"), l.kept.alias("kept"))), lambda h: h.kept & h.x.isNotNull())
+
+    def step(state: Column, n: Column) -> Column:
+        own = F.get(lines, n)
+        mid = (own.y0 + own.y1) / 2
+        near = F.filter(state.homes, lambda h: (F.abs(mid - h.mid) < NEAR_Y) & (F.abs(own.x0 - h.x) < NEAR_X))
+        best = F.array_min(F.transform(near, lambda h: F.struct(F.abs(mid - h.mid).alias("far"), h.n.alias("n"))))
+        x = F.get(own.first, F.lit(0)).x0
+        return let(
+            best,
+            lambda b: F.when(b.isNull(), state).otherwise(
+                F.struct(
+                    F.transform(state.homes, lambda h: F.struct(h.n.alias("n"), h.mid.alias("mid"), F.when(h.n == b.n, x).otherwise(h.x).alias("x"), h.kept.alias("kept"))).alias("homes"),
+                    F.concat(state.done, F.array(F.struct(n.alias("line_no"), b.n.alias("to_line")))).alias("done"),
+                ).cast(kind)
+            ),
+        )
+
+    kind = "struct<homes:array<struct<n:int,mid:double,x:double,kept:boolean>>,done:array<struct<line_no:int,to_line:int>>>"
+    alone = F.filter(nested.indexes(lines), lambda n: F.get(lines, n).alone)
+    fold = F.aggregate(alone, F.struct(homes.alias("homes"), ends.alias("done")).cast(kind), step, lambda s: s.done)
+    return F.when(F.exists(lines, lambda l: l.alone), fold).otherwise(ends)
+
+
+def _numbers(raws: Column) -> Column:
+    """Raw lines that are nothing but a page number: (y, text, x1)."""
+    said = lambda r: text.strip(F.array_join(F.transform(r.spans, lambda s: s.text), ""))
+    return F.transform(F.filter(raws, lambda r: text.is_page_number(said(r))), lambda r: F.struct(r.y0.cast("int").alias("y"), said(r).alias("text"), r.x1.alias("x1")))
+
+
+# -- relations --------------------------------------------------------------
+
+
+def english(blocks: DataFrame) -> DataFrame:
+    """(key, n_words, n_marks, is_english) of every block: its text without separators."""
+    all_ = F.flatten(F.transform("raws", lambda r: r.spans))
+    b = blocks.select(*BLOCK, _words(all_).alias("t"))
+    words = text.english_words(F.col("t"))
+    return b.select(*BLOCK, F.size(words).cast("long").alias("n_words"), text.english_hits(words).cast("long").alias("n_marks"), text.is_english(F.col("t")).alias("is_english"))
+
+
+def foreign(blocks: DataFrame) -> DataFrame:
+    """Blocks that are not English already."""
+    return blocks.filter(let(_words(F.flatten(F.transform("raws", lambda r: r.spans))), lambda t: ~text.is_english(t)))
+
+
+def fragments(blocks: DataFrame) -> DataFrame:
+    """Raw lines as rows: box, core range of y, and what their spans are."""
+    return blocks.select(*BLOCK, F.explode(cored(F.col("raws"))).alias("r")).select(*BLOCK, "r.*")
+
+
+def raw_spans(blocks: DataFrame) -> DataFrame:
+    """Spans as rows: (key, raw_no, span_no, is_text, span)."""
+    raws = blocks.select(*BLOCK, F.explode("raws").alias("r")).select(*BLOCK, "r.raw_no", F.posexplode("r.spans").alias("span_no", "s"))
+    return raws.select(*BLOCK, "raw_no", "span_no", fonts.is_text(F.col("s.font")).alias("is_text"), "s.*")
+
+
+@nested.once
+def _cored() -> Column:
+    return cored(F.col("raws"))
+
+
+@nested.once
+def _y_groups() -> Column:
+    return y_groups(F.col("rows"))
+
+
+@nested.once
+def _merged_places() -> Column:
+    return merged_places(F.col("rows"), F.col("fits"))
+
+
+def _placed(blocks: DataFrame, *keep: str) -> DataFrame:
+    """Blocks with their raw lines (rows), y-groups (fits) and the places that make each line."""
+    b = nested.step(blocks, (*BLOCK, *keep), rows=_cored())
+    b = nested.step(b, (*BLOCK, *keep, "rows"), fits=_y_groups())
+    return nested.step(b, (*BLOCK, *keep, "rows", "fits"), places=_merged_places())
+
+
+@nested.once
+def _homes() -> Column:
+    return F.flatten(F.transform("places", lambda l, n: F.transform(l.m, lambda i: F.struct(F.get(F.col("rows"), i).raw_no.alias("raw_no"), l.y_group.alias("y_group"), n.alias("line_no")))))
+
+
+def places(blocks: DataFrame) -> DataFrame:
+    """(key, raw_no, y_group, line_no): the line that each raw line ends up in."""
+    return _placed(blocks).select(*BLOCK, F.explode(_homes()).alias("p")).select(*BLOCK, "p.*")
+
+
+@nested.once
+def _verdicts() -> Column:
+    rows = F.col("rows")
+    one = lambda c, k, n: let(guard(rows, c), lambda v: F.struct(n.alias("y_group"), k.alias("cluster"), F.transform(c, lambda i: F.get(rows, i).raw_no).alias("raws"), v.n_members.alias("n_members"), v.n_margin.alias("n_margin"), v.merged.alias("merged")))
+    return F.flatten(F.transform("fits", lambda g, n: F.transform(clusters(rows, g), lambda c, k: one(c, k, n))))
+
+
+def verdicts(blocks: DataFrame) -> DataFrame:
+    """(key, y_group, cluster, raws, n_members, n_margin, merged): clusters of every group with the guard's verdict."""
+    return _placed(blocks).select(*BLOCK, F.explode(_verdicts()).alias("c")).select(*BLOCK, "c.*")
+
+
+@nested.once
+def _joined() -> Column:
+    return F.transform("places", lambda p: _line(F.col("rows"), p))
+
+
+@nested.once
+def _fates() -> Column:
+    return F.transform("joined", _judged)
+
+
+@nested.once
+def _attached() -> Column:
+    return attachments(F.col("lines"))
+
+
+@nested.once
+def _page_numbers() -> Column:
+    return _numbers(F.col("raws"))
+
+
+@nested.once
+def _kept() -> Column:
+    """Lines kept, as they leave their block: number, spans, box, mathematics attached (the last first), and the block's page numbers."""
+    lines, done = F.col("lines"), F.col("attached")
+    before = lambda n: F.flatten(F.transform(F.reverse(F.filter(done, lambda a: a.to_line == n)), lambda a: F.get(lines, a.line_no).first))
+    none = F.array().cast(f"array<{SPAN}>")
+    one = lambda l, n: F.struct(l.kept.alias("kept"), n.alias("line_no"), l.spans.alias("spans"), *(l[c].alias(c) for c in ("x0", "y0", "x1", "y1")), F.when(F.size(done) > 0, before(n)).otherwise(none).alias("before"), F.col("numbers").alias("numbers"))
+    return F.filter(F.transform(lines, one), lambda l: l.kept)
+
+
+def _all_lines(blocks: DataFrame) -> DataFrame:
+    """Blocks with their judged lines, what is attached to what, and their page numbers."""
+    b = nested.step(_placed(blocks, "raws"), (*BLOCK, "raws"), joined=_joined())
+    b = nested.step(b, BLOCK, lines=_fates(), numbers=_page_numbers())
+    return nested.step(b, (*BLOCK, "lines", "numbers"), attached=_attached())
+
+
+def attached(blocks: DataFrame) -> DataFrame:
+    """(key of a line of mathematics alone, to_line)."""
+    return _all_lines(blocks).select(*BLOCK, F.explode("attached").alias("a")).select(*BLOCK, "a.*")
+
+
+def lines(blocks: DataFrame) -> DataFrame:
+    """One row a line that is translated: template, spans, groups of mathematics, style runs, box, sizes, contents entry.
+
+    ``groups``: runs of mathematics; what was attached to the line stands before the first, the last attached first. ``runs``: (n, style) over
+    its text. A contents entry without a number takes the block's page number at its height, and reaches to that.
+    Lines of digits and marks only, and those without text, are left out.
     """
-    names = [c.split()[0] for c in MERGED.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, held = None, []
-        for pdf in frames:
-            out: list[tuple] = []
-            for r in pdf.itertuples(index=False, name=None):
-                if r[:3] != block:
-                    if held:
-                        out += _folded(block, held)
-                    block, held = r[:3], []
-                held.append(r[3:])
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(_folded(block, held), columns=names)
-
-    rows = frags.select("doc_id", "page_idx", "block_no", "line_seq", "frag", "x0", "y0", "x1", "y1", "core_y0", "core_y1", "has_text", "cmex_only")
-    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "page_idx", "block_no").mapInPandas(run, MERGED)
-
-
-def folded(spans: DataFrame) -> DataFrame:
-    """Spans by the lines of the exact fold, from any source: ``line_seq`` numbers a document's lines, ``span_no`` a line's spans from left to right; part and frag are 0."""
-    at = merge_raw_lines(fragments(spans)).withColumn("line", F.dense_rank().over(W.partitionBy("doc_id").orderBy("page_idx", "block_no", "line_no")) - 1)
-    rows = spans.join(at.select(*LINE, "frag", "line"), [*LINE, "frag"])
-    order = W.partitionBy("doc_id", "line").orderBy("x0", "line_seq", F.col("frag") % 1000, "frag", "span_no")
-    rows = rows.withColumn("span_no", F.row_number().over(order) - 1)
-    return rows.withColumn("line_seq", F.col("line")).withColumn("frag", F.lit(0)).withColumn("part", F.lit(0)).drop("line")
-
-
-def attach_lines(spans: DataFrame) -> DataFrame:
-    """``attach_math`` for spans that ``folded`` gave: every line of mathematics alone, to the nearest line of its block that is translated."""
-    order = [F.col("x0"), F.col("span_no")]
-    known = math_runs(with_math(spans)).groupBy(*LINE).agg(
-        _joined(order, F.when(F.col("is_text"), F.col("text")).otherwise("")).alias("text_only"), F.min("x0").alias("x0"),
-        ((F.min("y0") + F.max("y1")) / 2).alias("mid"), F.min(F.when(~F.col("is_text") & (F.col("run") == 0), F.col("x0"))).alias("math_x0"),
+    out = _all_lines(blocks).select(*BLOCK, F.explode(_kept()).alias("l")).select(*BLOCK, "l.*")
+    return _described(out)
+
+
+@nested.once
+def _parts() -> Column:
+    flat = F.transform("spans", lambda s: F.struct(_is_text(s).alias("is_text"), s.alias("s")))
+    return nested.runs(flat, lambda a, b: a.is_text != b.is_text)
+
+
+@nested.once
+def _read() -> Column:
+    """What a line's spans and their runs (``parts``) say: template, runs of mathematics, style runs, sizes."""
+    is_math = lambda run: ~F.get(run, F.lit(0)).is_text
+    maths = F.transform(F.filter("parts", is_math), lambda run: F.transform(run, lambda e: e.s))
+    # text and mathematics take turns: a run's number is half its place
+    skip = F.when(is_math(F.get(F.col("parts"), F.lit(0))), 0).otherwise(1)
+    number = lambda k: F.floor((k - skip) / 2).cast("string")
+    pieces = F.transform("parts", lambda run, k: F.when(is_math(run), F.concat(F.lit("{M"), number(k), F.lit("}"))).otherwise(F.array_join(F.transform(run, lambda e: e.s.text), "")))
+    words = F.filter("spans", _is_text)
+    styled = F.transform(words, lambda s: F.struct(fonts.style(s.font).alias("style"), F.length(s.text).alias("n")))
+    runs = F.transform(nested.runs(styled, lambda a, b: a.style != b.style), lambda r: F.struct(nested.total(r, lambda e: e.n).cast("int").alias("n"), F.get(r, F.lit(0)).style.alias("style")))
+    visible = F.get(F.filter(words, lambda s: ~text.is_blank(s.text)), F.lit(0))
+    return F.struct(
+        F.array_join(pieces, "").alias("template"), maths.alias("maths"), runs.alias("runs"), F.get(F.col("spans"), F.lit(0)).size.alias("first_size"),
+        let(visible, lambda v: F.struct(v.size.alias("size"), v.oy.alias("oy"))).alias("seen"), dominant(F.col("spans")).alias("font_style"),
+    )
+
+
+@nested.once
+def _entry() -> Column:
+    """Contents entry: its words, its page number, its right edge, by the template and the block's page numbers."""
+    template, y = F.col("r.template"), F.col("y0").cast("int")
+    found = F.get(F.reverse(F.filter("numbers", lambda e: (y == e.y) | (y == e.y + 1))), F.lit(0))
+    none = F.struct(F.lit(False).alias("is_toc"), F.lit("").alias("content"), F.lit("").alias("page"), F.col("x1").alias("x1"))
+
+    def entry(own: Column) -> Column:
+        far = let(found, lambda e: F.struct(F.lit(True).alias("is_toc"), text.toc_content(template).alias("content"), F.coalesce(e.text, F.lit("")).alias("page"), F.coalesce(e.x1, F.col("x1")).alias("x1")))
+        return F.when(own != "", F.struct(F.lit(True).alias("is_toc"), text.toc_content(template).alias("content"), own.alias("page"), F.col("x1").alias("x1"))).otherwise(far)
+
+    return F.when(text.is_toc(template), let(text.toc_page(template), entry)).otherwise(none)
+
+
+@nested.once
+def _grouped() -> Column:
+    """Runs of mathematics; the first begins with what was attached."""
+    joined = F.transform("r.maths", lambda run, k: F.when(k == 0, F.concat("before", run)).otherwise(run))
+    return F.when(F.size("before") > 0, joined).otherwise(F.col("r.maths"))
+
+
+def _described(l: DataFrame) -> DataFrame:
+    # arrays of one, exploded: what follows reads a step's result instead of repeating it
+    l = l.withColumn("parts", F.explode(F.array(_parts()))).withColumn("r", F.explode(F.array(_read())))
+    l = l.withColumn("e", F.explode(F.array(_entry())))
+    return l.select(
+        *KEY, "r.template", F.size("r.maths").cast("long").alias("n_math"), "x0", "y0", "e.x1", "y1", "r.first_size", F.coalesce("r.seen.size", "r.first_size").alias("font_size"),
+        F.coalesce("r.seen.oy", "y1").alias("baseline"), "r.font_style", "e.is_toc", F.col("e.content").alias("toc_content"), F.col("e.page").alias("toc_page_num"), _grouped().alias("groups"), "r.runs", "spans",
     )
-    bare = text.strip(F.col("text_only")) == ""
-    alone = known.filter(bare).select(*LINE, "x0", F.col("mid").alias("own_mid"))
-    home = known.filter(~bare & ~text.is_numeric_only(F.col("text_only"))).select("doc_id", "page_idx", "block_no", F.col("line_seq").alias("to_line"), "mid", "math_x0")
-    near = alone.join(home, ["doc_id", "page_idx", "block_no"]).filter((F.abs(F.col("own_mid") - F.col("mid")) < 20) & (F.abs(F.col("x0") - F.col("math_x0")) < 15))
-    return near.groupBy(*LINE).agg(F.min_by("to_line", F.struct(F.abs(F.col("own_mid") - F.col("mid")), "to_line")).alias("to_line"))
+
+
+def dominant(spans: Column) -> Column:
+    """The style of most characters of a line's visible text spans; the one seen first on a tie, regular without any."""
+    seen = F.transform(F.filter(spans, lambda s: _is_text(s) & ~text.is_blank(s.text)), lambda s, k: F.struct(fonts.style(s.font).alias("style"), F.length(s.text).alias("n")))
+
+    def best(seen: Column) -> Column:
+        sums = F.transform(
+            F.array_distinct(F.transform(seen, lambda e: e.style)),
+            lambda st, k: F.struct(nested.total(F.filter(seen, lambda e: e.style == st), lambda e: e.n).alias("n"), (-k).alias("k"), st.alias("style")),
+        )
+        return F.coalesce(F.array_max(sums).style, F.lit("regular"))
+
+    return let(seen, best)
+
+
+def group_text() -> Column:
+    """What a line gives to its paragraph: a contents entry's words, else its template."""
+    return F.when(F.col("is_toc"), F.col("toc_content")).otherwise(F.col("template"))

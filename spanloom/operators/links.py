@@ -84,9 +84,9 @@ def lost(links: DataFrame, surviving: DataFrame) -> DataFrame:
 
 def under(links: DataFrame, spans: DataFrame) -> DataFrame:
     """Text under each link's rectangle: spans of its page that meet it, in order; none if blank."""
-    s = spans.select("doc_id", "page_idx", F.col("text").alias("t"), F.col("x0").alias("sx0"), F.col("x1").alias("sx1"), F.col("y0").alias("sy0"), F.col("y1").alias("sy1"), "line_seq", "span_no")
+    s = spans.select("doc_id", "page_idx", F.col("text").alias("t"), F.col("x0").alias("sx0"), F.col("x1").alias("sx1"), F.col("y0").alias("sy0"), F.col("y1").alias("sy1"), "block_no", "raw_no", "span_no")
     meets = (F.col("sx0") < F.col("x1")) & (F.col("sx1") > F.col("x0")) & (F.col("sy0") < F.col("y1")) & (F.col("sy1") > F.col("y0"))
-    rows = F.array_sort(F.collect_list(F.struct("line_seq", "span_no", "t")))
+    rows = F.array_sort(F.collect_list(F.struct("block_no", "raw_no", "span_no", "t")))
     out = links.drop("text").join(s, ["doc_id", "page_idx"]).filter(meets).groupBy("doc_id", "page_idx", "link_idx").agg(F.array_join(F.transform(rows, lambda r: r.t), "").alias("text"))
     out = out.withColumn("text", F.regexp_replace("text", "^[ \\t\\n\\r\\f]+|[ \\t\\n\\r\\f]+$", ""))
     return out.filter("text <> ''")

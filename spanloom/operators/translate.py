@@ -86,10 +86,7 @@ def probe(paragraphs: DataFrame, cache: DataFrame, source: str, target: str) ->
     return keyed.join(good, "key"), keyed.join(good, "key", "left_anti")
 
 
-def translated(paragraphs: DataFrame, cache: DataFrame, backend: Backend, source: str, target: str, **how) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs with raw translation, new cache rows). The new rows are to be written before either is used again: see ``sources.cache``."""
-    keyed = paragraphs.withColumn("key", key(F.col("wire_text"), source, target))
+def fresh(keyed: DataFrame, cache: DataFrame, backend: Backend, source: str, target: str, **how) -> DataFrame:
+    """New cache rows for ``keyed`` paragraphs (key, wire_text) that the cache does not hold: each text is sent once. They are to be written before they are used."""
     missing = keyed.join(cache.filter("status = 'ok'").select("key"), "key", "left_anti").select("key", F.col("wire_text").alias("text")).dropDuplicates(["key"])
-    fresh = send(missing, backend, source, target, **how)
-    every = cache.filter("status = 'ok'").select("key", "raw").unionByName(fresh.select("key", "raw"))
-    return keyed.join(every, "key"), fresh
+    return send(missing, backend, source, target, **how)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import charmaps, fonts, text
 from spanloom.operators import jobs, layout, lines, links, paragraphs, translate
+from spanloom.operators.lines import KEY
 from spanloom.plans import oracle
 from spanloom.sources import lift
 
@@ -20,109 +21,91 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+def _column(rows: DataFrame, *names: str) -> DataFrame:
+    return rows.select(*KEY, *names)
+
+
 @query
 def span_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, style and family of every span's font."""
-    s = lift.lift(spark, sf_dir)
-    return s.select("doc_id", "page_idx", "line_seq", "span_no", fonts.is_text(F.col("font")).alias("is_text"), fonts.style(F.col("font")).alias("style"), fonts.family(F.col("font")).alias("family"))
+    s = lines.raw_spans(lift.lift(spark, sf_dir))
+    return s.select(*lines.BLOCK, "raw_no", "span_no", "is_text", fonts.style(F.col("font")).alias("style"), fonts.family(F.col("font")).alias("family"))
 
 
 @query
 def english_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A block's text without separators, and whether its words mark it as English."""
-    t = lift.lift(spark, sf_dir).filter("is_text")
-    rows = F.array_sort(F.collect_list(F.struct("line_seq", "span_no", "text")))
-    b = t.groupBy("doc_id", "block_no").agg(F.array_join(F.transform(rows, lambda r: r.text), "").alias("block_text"))
-    words = text.english_words(F.col("block_text"))
-    return b.select("doc_id", "block_no", F.size(words).cast("long").alias("n_words"), text.english_hits(words).cast("long").alias("n_marks"), text.is_english(F.col("block_text")).alias("is_english"))
+    return lines.english(lift.lift(spark, sf_dir))
 
 
 @query
 def line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their mathematics masked by placeholders."""
-    return lines.lines(lift.lift(spark, sf_dir)).select("doc_id", "line_seq", "part", "template", "n_math")
+    """Lines with their mathematics masked by placeholders."""
+    return _column(_lines(spark, sf_dir), "template", "n_math")
 
 
 @query
 def style_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one style over the text of a line."""
-    return lines.style_runs(lines.line_parts(lift.lift(spark, sf_dir))).select("doc_id", "line_seq", "part", "run_idx", "n", "style")
+    return _lines(spark, sf_dir).select(*KEY, F.posexplode("runs").alias("run_idx", "r")).select(*KEY, "run_idx", "r.n", "r.style")
 
 
 @query
 def dominant_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4: the style of most characters of a line."""
-    return lines.dominant_style(lines.line_parts(lift.lift(spark, sf_dir))).select("doc_id", "line_seq", "part", "font_style")
+    return _column(_lines(spark, sf_dir), "font_style")
 
 
 @query
 def line_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P4, P5, P6, P7 over fragments and the contents lines."""
-    docs = lift.documents(spark, sf_dir)
-    rows = F.array_sort(F.collect_list(F.struct("span_no", "text")))
-    own = lift.spans(docs).groupBy("doc_id", "line_seq", "frag").agg(F.array_join(F.transform(rows, lambda r: r.text), "").alias("t"), F.bool_or("is_text").alias("has_text"))
-    toc = lift.toc_lines(docs)
-    extra = toc.select("doc_id", F.lit(-1).alias("line_seq"), F.lit(0).alias("frag"), F.col("template").alias("t"), F.lit(True).alias("has_text"))
-    number = toc.filter("num_text IS NOT NULL").select("doc_id", F.lit(-1).alias("line_seq"), F.lit(1).alias("frag"), F.col("num_text").alias("t"), F.lit(True).alias("has_text"))
+    """P4, P5, P6, P7 over raw lines."""
+    b = lift.lift(spark, sf_dir).select(*lines.BLOCK, F.explode("raws").alias("r"))
+    said = F.array_join(F.transform("r.spans", lambda s: s.text), "")
+    b = b.select(*lines.BLOCK, "r.raw_no", said.alias("t"), F.exists("r.spans", lambda s: fonts.is_text(s.font)).alias("has_text"))
     t = F.col("t")
-    return own.unionByName(extra).unionByName(number).select("doc_id", "line_seq", "frag", text.is_page_number(t).alias("is_page_number"), (~F.col("has_text")).alias("no_text"), text.is_numeric_only(t).alias("numeric_only"), text.is_toc(t).alias("is_toc"))
+    return b.select(*lines.BLOCK, "raw_no", text.is_page_number(t).alias("is_page_number"), (~F.col("has_text")).alias("no_text"), text.is_numeric_only(t).alias("numeric_only"), text.is_toc(t).alias("is_toc"))
 
 
 @query
 def toc_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents lines parted into words and page number."""
-    t = lift.toc_lines(lift.documents(spark, sf_dir))
-    return t.select("doc_id", text.toc_content(F.col("template")).alias("toc_content"), text.toc_page(F.col("template")).alias("toc_page_num"))
-
-
-@query
-def toc_pagenum_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page number that stands apart, found under its row of y or the one below; the box reaches to it."""
-    t = lift.toc_lines(lift.documents(spark, sf_dir))
-    numbers = t.filter(F.col("num_text").isNotNull()).select("doc_id", "num_text", "num_x1", F.explode(F.array(F.col("num_y0").cast("int"), F.col("num_y0").cast("int") + 1)).alias("y"))
-    entry = numbers.groupBy("doc_id", "y").agg(F.max_by(F.struct("num_text", "num_x1"), "y").alias("e"))
-    own = t.select("doc_id", "x1", F.col("y0").cast("int").alias("y"), text.toc_page(F.col("template")).alias("own"))
-    out = own.join(entry, ["doc_id", "y"], "left")
-    missing = F.col("own") == ""
-    return out.select("doc_id", F.when(missing, F.coalesce("e.num_text", F.lit(""))).otherwise(F.col("own")).alias("toc_page_num"), F.when(missing, F.coalesce("e.num_x1", "x1")).otherwise(F.col("x1")).alias("x1"))
+    """Contents lines parted into words and page number, one that stands apart too; their box reaches to it."""
+    return _column(_lines(spark, sf_dir).filter("is_toc"), "toc_content", "toc_page_num", "x1")
 
 
 @query
 def core_y_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R2, A3: core range of y of raw lines; tall symbols do not count unless alone."""
-    return lines.fragments(lift.raw_spans(lift.documents(spark, sf_dir))).select("doc_id", "line_seq", "frag", "core_y0", "core_y1", "mean_oy", "cmex_only")
+    """Core range of y of raw lines; tall symbols do not count unless alone."""
+    return lines.fragments(lift.lift(spark, sf_dir)).select(*lines.BLOCK, "raw_no", "c0", "c1", "mean_oy", "tall")
 
 
 @query
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of visual lines."""
-    s = lift.lift(spark, sf_dir)
-    return s.groupBy("doc_id", "page_idx", "line_seq").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-
-
-@query
-def x_gap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of a visual line clustered by gaps in x."""
-    return lines.x_clusters(lines.on_line(lines.fragments(lift.lift(spark, sf_dir)))).select("doc_id", "line_seq", "frag", "cluster")
+    """Boxes of lines."""
+    return _column(_lines(spark, sf_dir).filter("NOT is_toc"), "x0", "y0", "x1", "y1")
 
 
 @query
 def merge_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which clusters may become one line."""
-    g = lines.guarded(lines.x_clusters(lines.on_line(lines.fragments(lift.lift(spark, sf_dir)))))
-    return g.groupBy("doc_id", "line_seq", "cluster").agg(F.max("n_members").alias("n_members"), F.max("n_margin").alias("n_margin"), F.bool_or("merged").alias("merged"))
+    """Clusters by gaps in x, and which may become one line."""
+    return lines.verdicts(lift.lift(spark, sf_dir)).select(*lines.BLOCK, "y_group", "cluster", F.array_join(F.transform("raws", lambda r: r.cast("string")), ",").alias("raws"), "n_members", "n_margin", "merged")
 
 
 @query
 def y_overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """W1, P12, J4, J2, U5, W2, P11 exactly: the order-dependent fold over a block's raw lines."""
-    return lines.merge_raw_lines(lines.fragments(lift.raw_spans(lift.documents(spark, sf_dir)))).select("doc_id", "page_idx", "block_no", "line_seq", "frag", "y_group", "line_no")
+    """Y-groups of a block's raw lines, and the line each ends up in."""
+    return lines.places(lift.lift(spark, sf_dir))
 
 
 @query
 def attach_math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of mathematics alone, and the line each belongs to."""
-    return lines.attach_math(lift.raw_spans(lift.documents(spark, sf_dir))).select("doc_id", "line_seq", "frag", "to_line", "to_part")
+    """Lines of mathematics alone, and the line each is attached to, one after the other."""
+    return lines.attached(lift.lift(spark, sf_dir))
+
+
+@query
+def math_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line's runs of mathematics, what was attached first."""
+    return layout.group_spans(layout.math_groups(_lines(spark, sf_dir))).select(*layout.GROUP, "pos", "text", "x0", "oy")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,26 +119,26 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def paragraph_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in groups."""
-    return paragraphs.grouped(_lines(spark, sf_dir)).select("doc_id", "line_no", "group_id", "mergeable")
+    return _column(paragraphs.grouped(_lines(spark, sf_dir)), "seq", "group_id", "mergeable")
 
 
 @query
 def paragraph_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A group's text as it is sent. The flagship query."""
+    """A group's text as it is sent; of contents entries, their words. The flagship query."""
     return _paragraphs(spark, sf_dir).select("doc_id", "group_id", "n_lines", F.length("template").alias("n_chars"), "wire_text")
 
 
 @query
 def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders of lines masked."""
-    return _lines(spark, sf_dir).select("doc_id", "line_seq", "part", text.mask(F.col("template")).alias("wire_text"))
+    return _lines(spark, sf_dir).select(*KEY, text.mask(F.col("template")).alias("wire_text"))
 
 
 @query
 def unmask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked lines, their marks in small letters and with blanks added, back to placeholders."""
     noisy = F.regexp_replace(text.mask(F.col("template")), "XXXM([0-9]+)XXX", "  xxxm$1xxx  ")
-    return _lines(spark, sf_dir).filter("n_math > 0").select("doc_id", "line_seq", "part", text.unmask(noisy).alias("t"))
+    return _lines(spark, sf_dir).filter("n_math > 0").select(*KEY, text.unmask(noisy).alias("t"))
 
 
 @query
@@ -204,60 +187,67 @@ def split_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """paragraphs' translations split back to their lines."""
     g = paragraphs.grouped(_lines(spark, sf_dir))
     t = paragraphs.merged(g).select("doc_id", "group_id", translate.lexicon(F.col("template")).alias("translated"))
-    return paragraphs.split_back(g, t).select("doc_id", "line_no", "translated")
+    return paragraphs.split_back(g, t).select("doc_id", "seq", "translated")
 
 
 @query
 def changed_lines_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines of a page a translation changes."""
-    changed = text.strip(translate.lexicon(F.col("template"))) != text.strip(F.col("template"))
+    changed = text.strip(translate.lexicon(lines.group_text())) != text.strip(lines.group_text())
     return _lines(spark, sf_dir).groupBy("doc_id", "page_idx").agg(F.count_if(changed).alias("n_changed"), F.count(F.lit(1)).alias("n_lines"))
 
 
 def _math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lift.lift(spark, sf_dir).filter("NOT is_text")
+    return lines.raw_spans(lift.lift(spark, sf_dir)).filter("NOT is_text")
 
 
 @query
 def math_char_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of mathematics, and of its words' letters, by every family's table."""
-    fam = fonts.family(F.col("font"))
-    m = _math(spark, sf_dir)
-    return m.select("doc_id", "line_seq", "span_no", fam.alias("family"), charmaps.map_text(F.col("text"), fam).alias("mapped"), charmaps.map_text(F.col("text"), F.lit("CMBX")).alias("bold"), charmaps.map_text(F.col("text"), F.lit("EUFM")).alias("fraktur"))
+    m = layout.routed(_math(spark, sf_dir))
+    return m.select(*lines.BLOCK, "raw_no", "span_no", "family", charmaps.map_text(F.col("text"), F.col("family")).alias("mapped"), charmaps.map_text(F.col("text"), F.lit("CMBX")).alias("bold"), charmaps.map_text(F.col("text"), F.lit("EUFM")).alias("fraktur"))
 
 
 @query
 def render_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How spans of mathematics are drawn."""
-    fam = fonts.family(F.col("font"))
-    return _math(spark, sf_dir).select("doc_id", "line_seq", "span_no", charmaps.route(F.col("text"), fam, fonts.family_style(fam)).alias("route"))
+    return layout.routed(_math(spark, sf_dir)).select(*lines.BLOCK, "raw_no", "span_no", "route")
 
 
 @query
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as runs of text and placeholders."""
-    return layout.segment_rows(_lines(spark, sf_dir)).select("doc_id", "line_seq", "part", "seg_no", "kind", "seg")
+    return layout.segment_rows(_lines(spark, sf_dir)).select(*KEY, "seg_no", "kind", "seg")
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = lift.lift(spark, sf_dir)
-    return layout.style_map(lines.lines(s).withColumn("translated", translate.lexicon(F.col("template"))), lines.style_runs(lines.line_parts(s)))
+def _translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines translated one by one, without their spans."""
+    return _lines(spark, sf_dir).drop("spans").withColumn("translated", translate.lexicon(lines.group_text()))
 
 
 @query
 def style_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The original's styles on the translation."""
-    return _mapped(spark, sf_dir)
+    """The original's styles on the translation."""
+    return layout.style_map(_translated(spark, sf_dir))
 
 
 @query
 def style_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Style borders moved off brackets and labels."""
-    return layout.style_boundaries(_mapped(spark, sf_dir))
+    return layout.style_boundaries(_translated(spark, sf_dir))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.math_groups(lift.raw_spans(lift.documents(spark, sf_dir)))
+    """Groups of mathematics of the lines, and for each document a group of every kind that prose has none of: a fraction, a letter with scripts, both, an empty span."""
+    own = layout.math_groups(_lines(spark, sf_dir))
+    d = (F.col("doc_id") % 5).cast("double")
+    made = lift.documents(spark, sf_dir).filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.lit(0).alias("page_idx"), F.lit(-2).alias("block_no"), F.lit(0).alias("line_no"))
+    box = lambda t, font, size, x0, y0, w, h: F.struct(F.lit(t).alias("text"), F.lit(f"ABCDEF+{font}").alias("font"), F.lit(float(size)).alias("size"), *((c).cast("double").alias(n) for c, n in ((F.lit(x0) + d, "x0"), (F.lit(y0), "y0"), (F.lit(x0 + w) + d, "x1"), (F.lit(y0 + h), "y1"), (F.lit(y0 + h - 2), "oy"))))
+    fraction = F.array(box("a", "CMMI10", 10, 100, 100, 8, 10), box("n", "CMMI7", 7, 120, 94, 6, 7), box("2", "CMR7", 7, 120, 106, 6, 7), box("b", "CMMI10", 10, 150, 100, 8, 10))
+    scripts = F.array(box("C", "rsfs10", 10, 100, 100, 8, 10), box("r", "CMMI7", 7, 108, 97, 4, 7), box(" ", "CMR10", 10, 112, 100, 3, 10), box("x", "CMMI10", 10, 130, 100, 8, 10))
+    mixed = F.array(box("g", "EUFM10", 10, 80, 100, 8, 10), box("s", "CMSY7", 7, 89, 97, 4, 7), box("h", "CMMI10", 10, 110, 88, 9, 10), box("q", "CMMI10", 10, 110, 104, 9, 10), box("-", "CMSY10", 10, 140, 100, 0.25, 10), box("P", "CMEX10", 10, 150, 95, 12, 20), box("u", "CMMI7", 7, 170, 94, 5, 7), box("w", "CMMI7", 7, 170, 106, 5, 7))
+    none = F.array(box("S", "CMEX10", 10, 100, 100, 6, 10), box("i", "CMMI7", 7, 106, 92, 4, 7), box("k", "CMMI7", 7, 106, 104, 4, 7))
+    return own.unionByName(made.select(*KEY, F.posexplode(F.array(fraction, scripts, mixed, none)).alias("run", "spans")))
 
 
 @query
@@ -273,10 +263,9 @@ def attached_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def pen_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each segment of a line begins."""
-    raw = lift.raw_spans(lift.documents(spark, sf_dir))
-    return layout.pen_advance(lines.lines(raw.filter("frag < 1000")), layout.math_groups(raw))
+def group_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a group's spans stand, and the boxes that copies are cut from."""
+    return layout.placed_groups(_groups(spark, sf_dir)).select(*layout.GROUP, F.explode("marks").alias("m")).select(*layout.GROUP, "m.pos", "m.route", "m.drawn", "m.dx", "m.width", F.col("m.box.x0").alias("box_x0"), F.col("m.box.y0").alias("box_y0"), F.col("m.box.x1").alias("box_x1"), F.col("m.box.y1").alias("box_y1"))
 
 
 @query
@@ -285,6 +274,13 @@ def fraction_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.fraction_bars(_groups(spark, sf_dir))
 
 
+@query
+def pen_advance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each segment of a line begins."""
+    own = _lines(spark, sf_dir).drop("spans")
+    return layout.pen_advance(own, layout.math_groups(own))
+
+
 @query
 def whiteout_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes to clear."""
@@ -294,14 +290,13 @@ def whiteout_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def font_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and baseline of a line, from its first span of visible text."""
-    return _lines(spark, sf_dir).select("doc_id", "line_seq", "part", "font_size", "baseline")
+    return _column(_lines(spark, sf_dir), "font_size", "baseline")
 
 
 @query
 def toc_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dots of contents lines."""
-    t = lift.toc_lines(lift.documents(spark, sf_dir)).select("doc_id", text.toc_content(F.col("template")).alias("content"), text.toc_page(F.col("template")).alias("page"), F.lit(72.0).alias("x0"), F.lit(500.0).alias("x1"))
-    return layout.toc_leaders(t)
+    return layout.toc_leaders(_lines(spark, sf_dir).withColumn("x1", F.greatest("x1", F.lit(500.0))))
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,11 +324,26 @@ def link_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.with_extents(l, _extents(l)).select("doc_id", "link_idx", "orig_x0", "text_end")
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn text for the pages' links: one piece a row of links, of their texts, a mark between."""
+    l = _links(spark, sf_dir)
+    rows = F.array_sort(F.collect_list(F.struct("link_idx", "text")))
+    row = l.groupBy("doc_id", "page_idx", F.col("y0").alias("top")).agg(F.array_join(F.transform(rows, lambda r: r.text), " ; ").alias("piece"))
+    return row.select("doc_id", "page_idx", F.lit(0).alias("block_no"), F.col("top").cast("int").alias("line_no"), F.lit(0).alias("item_no"), F.lit("text").alias("kind"), "piece", F.lit("regular").alias("style"), F.lit(80.0).alias("x"), (F.col("top") + 8).alias("y"), F.lit(10.0).alias("size"))
+
+
+@query
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of the places where links' texts stand in what is drawn."""
+    hits = layout.phrases(_pieces(spark, sf_dir), _links(spark, sf_dir).filter(F.length("text") <= links.SEARCH_CHARS))
+    return hits.select("doc_id", "page_idx", "text", F.col("hit_no.line_no").alias("line_no"), F.col("hit_no.n").alias("n"), "hx0", "hx1", "hy0")
+
+
 @query
 def link_reposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rectangles of links; the search hits are made up (S8 is missing)."""
+    """New rectangles of links, by search in what is drawn or by their line's extent."""
     l = _links(spark, sf_dir)
-    hits = l.filter("link_idx % 2 = 0").select("doc_id", "page_idx", "text", F.col("link_idx").alias("hit_no"), (F.col("x0") + 25).alias("hx0"), (F.col("x1") + 25).alias("hx1"), F.col("y0").alias("hy0"))
+    hits = layout.phrases(_pieces(spark, sf_dir), l.filter(F.length("text") <= links.SEARCH_CHARS))
     return links.repositioned(l, _extents(l), hits, lift.PAGE_HEIGHT).select("doc_id", "link_idx", "rect")
 
 
@@ -347,7 +357,7 @@ def links_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def text_under_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of the document of the same id under each link's rectangle."""
-    return links.under(_links(spark, sf_dir), lift.lift(spark, sf_dir)).select("doc_id", "link_idx", "text")
+    return links.under(_links(spark, sf_dir), lines.raw_spans(lift.lift(spark, sf_dir)).filter("block_no >= 0")).select("doc_id", "link_idx", "text")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,14 +372,14 @@ def job_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def job_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs past their time at the end of January."""
-    return jobs.expired(jobs.latest(jobs.log(_events(spark, sf_dir))), F.expr("TIMESTAMP_NTZ'2024-01-15 00:00:00'")).select("job_id", "status")
+    """Jobs past their time on the second of January."""
+    return jobs.expired(jobs.latest(jobs.log(_events(spark, sf_dir))), F.expr("TIMESTAMP_NTZ'2024-01-02 00:00:00'")).select("job_id", "status")
 
 
 @query
 def job_concurrency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4: admission of submissions."""
-    return jobs.admission(_events(spark, sf_dir))
+    return jobs.admission(_events(spark, sf_dir), ttl=86_400)
 
 
 @query

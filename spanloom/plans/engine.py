@@ -1,83 +1,89 @@
-"""The whole way of a document: spans, lines, paragraphs, translation, lines again, layout."""
+"""The whole way of a document: blocks, lines, paragraphs, translation, lines again, layout, links."""
 
 from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import text
-from spanloom.operators import layout, lines, paragraphs, translate
+from spanloom.operators import layout, lines, links, paragraphs, translate
+from spanloom.operators.lines import KEY
 from spanloom.sources import readers, sinks
 
 
 @dataclass
 class Engine:
-    """Parameters of a run. Without a backend, the offline lexicon translates inside the JVM; without a cache path nothing is kept."""
+    """Parameters of a run. Without a backend, the offline lexicon translates inside the JVM; without a cache path a run keeps its translations only as long as it lasts."""
 
     spark: SparkSession
     source: str = "fr"
     target: str = "en"
     backend: translate.Backend | None = None
     cache_path: str | None = None
+    metrics: layout.Metrics = layout.PLAIN
     send: dict = field(default_factory=dict)
 
-    def folded(self, spans: DataFrame) -> DataFrame:
-        """Spans of the blocks that are not English already, by the lines of the exact fold; what is folded stays as it is."""
-        if "part" in spans.columns:
-            return spans
-        t = spans.filter("is_text")
-        rows = F.array_sort(F.collect_list(F.struct("line_seq", "span_no", "text")))
-        block = t.groupBy("doc_id", "page_idx", "block_no").agg(F.array_join(F.transform(rows, lambda r: r.text), "").alias("t"))
-        english = block.filter(text.is_english(F.col("t"))).select("doc_id", "page_idx", "block_no")
-        out = lines.folded(spans.join(english, ["doc_id", "page_idx", "block_no"], "left_anti"))
-        # many steps use the folded spans: the fold is run once, and its lineage is cut
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """``df`` written to the shared folder and read again: several steps use it, and a fold or a service's call is not repeated."""
         sc = self.spark.sparkContext
         if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
-        return out.checkpoint()
+            folder = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not folder and not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanloom-"))
+        return df.checkpoint()
 
-    def lines(self, spans: DataFrame) -> DataFrame:
-        """Translatable lines of the blocks that are not English already."""
-        return lines.lines(self.folded(spans))
+    def lines(self, blocks: DataFrame) -> DataFrame:
+        """Lines that are translated, of the blocks that are not English already."""
+        return lines.lines(lines.foreign(blocks))
 
     def raw(self, merged: DataFrame) -> DataFrame:
-        """Paragraphs with their raw translation; new ones go to the cache first and are read from there."""
+        """Paragraphs with their raw translation; new ones are written first and read from there."""
         if self.backend is None:
             return merged.withColumn("raw", translate.lexicon(F.col("wire_text")))
         known = readers.cache(self.spark, self.cache_path) if self.cache_path else self.spark.createDataFrame([], translate.CACHE)
-        got, fresh = translate.translated(merged, known, self.backend, self.source, self.target, **self.send)
-        if not self.cache_path:
-            return got
-        # a call to a service must not run again when a result is used twice: what it gave is written, then read
-        sinks.save_cache(fresh, self.cache_path)
-        kept = readers.cache(self.spark, self.cache_path).select("key", "raw")
         keyed = merged.withColumn("key", translate.key(F.col("wire_text"), self.source, self.target))
-        return keyed.join(kept, "key", "left").withColumn("raw", F.coalesce("raw", "wire_text"))
+        fresh = translate.fresh(keyed, known, self.backend, self.source, self.target, **self.send)
+        # a call to a service must not run again when a result is used twice: what it gave is written, then read
+        if self.cache_path:
+            sinks.save_cache(fresh, self.cache_path)
+            kept = readers.cache(self.spark, self.cache_path)
+        else:
+            kept = self._cut(fresh).filter("status = 'ok'")
+        return keyed.join(kept.select("key", "raw"), "key", "left").withColumn("raw", F.coalesce("raw", "wire_text"))
 
-    def translations(self, spans: DataFrame) -> DataFrame:
+    def translations(self, blocks: DataFrame) -> DataFrame:
         """Lines with their translation."""
-        grouped = paragraphs.grouped(self.lines(spans))
+        own = self._cut(self.lines(blocks).drop("spans"))
+        grouped = paragraphs.grouped(own)
         done = self.raw(paragraphs.merged(grouped)).select("doc_id", "group_id", text.unmask(F.col("raw")).alias("translated"))
-        back = paragraphs.split_back(grouped, done).select("doc_id", "line_seq", "part", "translated")
-        return grouped.join(back, ["doc_id", "line_seq", "part"])
-
-    def layout(self, spans: DataFrame) -> DataFrame:
-        """Styled pieces of the lines that a translation changes, with where they stand: doc_id, page_idx, line_seq, part, seg_no, run_idx, piece, style, x, baseline, size."""
-        spans = self.folded(spans)
-        changed = self.translations(spans).filter(text.strip(F.col("translated")) != text.strip(F.col("template")))
-        mapped = layout.style_map(changed, lines.style_runs(lines.line_parts(spans)))
-        pens = layout.pen_advance(changed, layout.math_groups(spans), "translated")
-        own = changed.select("doc_id", "line_seq", "part", "page_idx", "baseline", F.col("font_size").alias("size"))
-        at = mapped.join(pens, ["doc_id", "line_seq", "part", "seg_no"]).join(own, ["doc_id", "line_seq", "part"])
-        return at.select("doc_id", "page_idx", "line_seq", "part", "seg_no", "run_idx", "piece", "style", (F.col("x") + self._before()).alias("x"), "baseline", "size")
-
-    @staticmethod
-    def _before() -> Column:
-        """Width of the pieces of the same segment before this one."""
-        from pyspark.sql import Window as W
-
-        w = W.partitionBy("doc_id", "line_seq", "part", "seg_no").orderBy("run_idx").rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum(layout.text_width(F.col("piece"), F.col("size"))).over(w), F.lit(0.0))
+        return grouped.join(paragraphs.split_back(grouped, done).drop("seq"), list(KEY))
+
+    def changed(self, blocks: DataFrame) -> DataFrame:
+        """Lines that the translation changes, with their styled pieces."""
+        done = self.translations(blocks).filter(text.strip(F.col("translated")) != text.strip(lines.group_text()))
+        return self._cut(layout.mapped(done))
+
+    def layout(self, blocks: DataFrame) -> DataFrame:
+        """All that is drawn for the changed lines, see ``layout.rendered``."""
+        return layout.rendered(self.changed(blocks), self.metrics)
+
+    def links(self, blocks: DataFrame, annotations: DataFrame, height: float) -> DataFrame:
+        """New rectangles of link annotations (doc_id, page_idx, link_idx, box, raw, text): by search in what is drawn, by their line's extent otherwise."""
+        own = self.changed(blocks)
+        items = self._cut(layout.rendered(own, self.metrics))
+        wanted = annotations.filter(F.length("text") <= links.SEARCH_CHARS)
+        return links.repositioned(annotations, layout.extents(own, items), layout.phrases(items, wanted, self.metrics), height)
+
+    def counters(self, blocks: DataFrame) -> DataFrame:
+        """(lines, pages, groups, cached, to_send): what a run is about to do."""
+        grouped = paragraphs.grouped(self.lines(blocks))
+        merged = paragraphs.merged(grouped)
+        known = readers.cache(self.spark, self.cache_path) if self.cache_path else self.spark.createDataFrame([], translate.CACHE)
+        hit = translate.probe(merged, known, self.source, self.target)[0].agg(F.count(F.lit(1)).alias("cached"))
+        n = grouped.agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("doc_id", "page_idx").alias("pages"), F.countDistinct("doc_id", "group_id").alias("groups"))
+        return n.join(F.broadcast(hit)).withColumn("to_send", F.col("groups") - F.col("cached"))
+

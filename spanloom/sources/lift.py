@@ -1,7 +1,7 @@
-"""The layout lift: prose as positioned spans, by arithmetic alone.
+"""The layout lift: prose as blocks of raw lines of positioned spans, by arithmetic alone.
 
-Documents are dealt by doc_id once, while they are still whole texts; every window after that is keyed by
-doc_id and more, so the lift and the operators on top of it find their rows in place and need no further shuffle.
+Documents are dealt by doc_id once, while they are still whole texts. A paragraph becomes a block, made in one row
+with all its raw lines and spans as nested columns: no window, join or sort but the running count of a document's lines.
 """
 
 from __future__ import annotations
@@ -10,91 +10,102 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from spanloom.functions import nested
+
 #: Fixed values of the lift.
 LINE_WORDS, PAGE_LINES, PITCH, TOP, LEFT, INDENT, ADVANCE = 12, 35, 18, 72, 72, 24, 5
-TOKEN, MATH = "[^ \\t\\r\\f\\x0B]+", "[0-9#$%&*+=<>_/|@^~-]"
+BLANK = "[ \\t\\n\\r\\f\\x0B]"
+TOKEN, WORD, MATH = "[^ \\t\\r\\f\\x0B]+", "[^ \\t\\n\\r\\f\\x0B]", "[0-9#$%&*+=<>_/|@^~-]"
 MATH_FONTS = ("CMMI10", "CMR10", "CMSY10", "CMEX10", "rsfs10", "MSBM10")
 PAGE_WIDTH, PAGE_HEIGHT = 612.0, 792.0
+#: Raw lines of a visual line at most, twice its words and more: what a line's number is multiplied by to number them.
+RAWS = 100
 
 
-def _font(math: Column) -> Column:
-    fifth = F.floor(F.col("wno") / 5)
-    text = (
-        F.when((F.col("block_no") == 0) & (F.col("line_no") == 0), "SFBX1440")
-        .when(fifth % 7 == 3, "SFTI1000")
-        .when(fifth % 11 == 5, "SFBX1000")
-        .when(fifth % 13 == 6, "SFBI1000")
-        .otherwise("SFRM1000")
-    )
-    drawn = F.element_at(F.array(*map(F.lit, MATH_FONTS)), ((F.col("doc_id") + F.col("wno")) % 6 + 1).cast("int"))
+def _font(math: Column, wno: Column, head: Column) -> Column:
+    fifth = F.floor(wno / 5)
+    text = F.when(head, "SFBX1440").when(fifth % 7 == 3, "SFTI1000").when(fifth % 11 == 5, "SFBX1000").when(fifth % 13 == 6, "SFBI1000").otherwise("SFRM1000")
+    drawn = F.get(F.array(*map(F.lit, MATH_FONTS)), ((F.col("doc_id") + wno) % 6).cast("int"))
     return F.concat(F.lit("ABCDEF+"), F.when(math, drawn).otherwise(text))
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """One row a span of the visual lines of ``docs`` (doc_id, text), with the fragment (run of spans of one class) that it is part of."""
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").repartition("doc_id")
-    paras = known.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "para"))
-    toks = paras.select("doc_id", "block_no", F.posexplode(F.regexp_extract_all("para", F.lit(TOKEN), 0)).alias("wno", "tok"))
-    toks = toks.select("*", F.floor(F.col("wno") / LINE_WORDS).cast("int").alias("line_no"), F.col("tok").rlike(MATH).alias("math"), F.length("tok").alias("n"))
-    in_doc, in_line = W.partitionBy("doc_id").orderBy("block_no", "line_no"), W.partitionBy("doc_id", "line_seq").orderBy("wno")
-    rows = toks.withColumn("line_seq", F.dense_rank().over(in_doc) - 1)
-    rows = rows.select(
-        "*",
-        F.coalesce(F.sum(F.col("n") + 1).over(in_line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.coalesce((F.col("math") != F.lag("math").over(in_line)).cast("int"), F.lit(0)).alias("turn"),
-        F.lead("wno").over(in_line).isNull().alias("is_last"),
-    )
-    rows = rows.withColumn("frag", F.sum("turn").over(in_line).cast("int"))
-    rows = rows.withColumn("first_wno", F.max(F.when(F.col("turn").eqNullSafe(1) | (F.col("wno") % LINE_WORDS == 0), F.col("wno"))).over(in_line))
-    math = F.col("math")
-    up = F.when(~math, 0.0).when((F.col("doc_id") + F.col("first_wno")) % 2 == 0, -3.0).otherwise(-8.0)
-    rows = rows.select(
-        "doc_id", "block_no", "line_seq", "wno", "first_wno", "frag", "tok", "n", "math", "is_last",
-        (F.col("wno") % LINE_WORDS).alias("span_no"), F.floor(F.col("line_seq") / PAGE_LINES).cast("int").alias("page_idx"), _font(math).alias("font"),
-        (LEFT + F.when(F.col("block_no") % 3 == 1, INDENT).otherwise(0) + ADVANCE * F.col("before")).cast("double").alias("x0"),
-        (TOP + PITCH * (F.col("line_seq") % PAGE_LINES) + up).alias("y0"),
-    )
-    return rows.select(
-        "doc_id", "page_idx", "block_no", "line_seq", "span_no", "frag", "wno", "first_wno", (~math).alias("is_text"),
-        F.when(math | F.col("is_last"), F.col("tok")).otherwise(F.concat("tok", F.lit(" "))).alias("text"), "font",
-        F.when(F.col("font").contains("SFBX1440"), 14.5).otherwise(10.0).alias("size"),
-        "x0", "y0", (F.col("x0") + ADVANCE * F.col("n")).alias("x1"), (F.col("y0") + 10).alias("y1"), (F.col("y0") + 8).alias("oy"),
+def _span(text: Column, font: Column, size: Column | float, x0: Column, y0: Column, width: Column | int, height: float = 10, base: float = 8) -> Column:
+    num = lambda x: (F.lit(x) if isinstance(x, (int, float)) else x).cast("double")
+    return F.struct(
+        text.alias("text"), font.alias("font"), num(size).alias("size"), num(x0).alias("x0"), num(y0).alias("y0"), num(x0 + width).alias("x1"), num(y0 + height).alias("y1"), num(y0 + base).alias("oy")
     )
 
 
-def raw_spans(docs: DataFrame) -> DataFrame:
-    """All spans with the raw line they stand in: fragments, and the small lines over some of them (frag + 1000).
+def _visual(line: Column) -> Column:
+    """Raw lines (arrays of spans) of a visual line: its fragments of one class, and the small lines that stand over some of them."""
+    words = F.slice("toks", line * LINE_WORDS + 1, F.lit(LINE_WORDS))
+    start = LEFT + F.when(F.col("block_no") % 3 == 1, INDENT).otherwise(0)
+    top = TOP + PITCH * ((F.col("first") + line) % PAGE_LINES)
+    head = (F.col("block_no") == 0) & (line == 0)
 
-    A small line stands over each fragment of mathematics that is raised by 3 and begins at a multiple of 3. It is made in
-    the row of the fragment's first span, so that it stays in that row's partition.
-    """
-    rows = spans(docs)
-    over = ~F.col("is_text") & (F.col("wno") == F.col("first_wno")) & ((F.col("doc_id") + F.col("wno")) % 2 == 0) & (F.col("wno") % 3 == 0)
-    new = {
-        "span_no": F.lit(0), "frag": F.col("frag") + 1000, "text": F.lit("d"), "font": F.lit("ABCDEF+CMMI7"), "size": F.lit(7.0),
-        "y0": F.col("y0") - 3, "x1": F.col("x0") + 4, "y1": F.col("y0") + 2, "oy": F.col("oy") - 5,
-    }
-    here, small = F.struct(*rows.columns), F.struct(*(new.get(c, F.col(c)).cast(t).alias(c) for c, t in rows.dtypes))
-    return rows.select(F.inline(F.when(over, F.array(here, small)).otherwise(F.array(here))))
-
-
-def toc_lines(docs: DataFrame) -> DataFrame:
-    """One contents line a document: template, y0, and the number that stands apart from it (num_text, num_y0, num_x1) in documents of odd id."""
-    toks = F.regexp_extract_all("text", F.lit("[^ \\t\\n\\r\\f\\x0B]+"), 0)
-    head = F.array_join(F.slice(toks, 1, 3), " ")
+    def raws(toks: Column) -> Column:
+        before = lambda j: F.when(j == 0, 0).otherwise(F.length(F.array_join(F.slice(toks, F.lit(1), j), " ")) + 1)
+        words = F.transform(
+            toks, lambda t, j: F.struct(t.alias("t"), t.rlike(MATH).alias("math"), (line * LINE_WORDS + j).alias("wno"), (j + 1 == F.size(toks)).alias("last"), (start + ADVANCE * before(j)).alias("x"))
+        )
+        return F.flatten(F.transform(nested.runs(words, lambda a, b: a.math != b.math), raised))
+
+    def raised(part: Column) -> Column:
+        one = F.get(part, F.lit(0))
+        even = (F.col("doc_id") + one.wno) % 2 == 0
+        y = top + F.when(~one.math, 0).when(even, -3).otherwise(-8)
+        own = F.transform(
+            part, lambda a: _span(F.when(a.math | a.last, a.t).otherwise(F.concat(a.t, F.lit(" "))), _font(a.math, a.wno, head), F.when(head & ~a.math, 14.5).otherwise(10.0), a.x, y, ADVANCE * F.length(a.t))
+        )
+        small = F.array(_span(F.lit("d"), F.lit("ABCDEF+CMMI7"), 7.0, one.x, y - 3, 4, 5, 6))
+        return F.when(one.math & even & (one.wno % 3 == 0), F.array(own, small)).otherwise(F.array(own))
+
+    return F.transform(nested.let(words, raws), lambda s, k: F.struct(((F.col("first") + line) * RAWS + k).cast("int").alias("raw_no"), s.alias("spans")))
+
+
+def _contents() -> Column:
+    """The raw lines of a document's contents entry: words and leaders, and in documents of odd id the page number apart from them."""
     number = (F.col("doc_id") % 200).cast("string")
     even = F.col("doc_id") % 2 == 0
     apart = F.when(F.col("doc_id") % 3 == 0, 50.0).when(F.col("doc_id") % 3 == 1, 49.0).otherwise(51.0)
-    template = F.concat(head, F.lit(" . . . . . "), F.when(even, number).otherwise(""))
-    return docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id",
-        template.alias("template"),
-        F.lit(50.0).alias("y0"),
-        (LEFT + ADVANCE * F.length(template)).cast("double").alias("x1"),
-        F.when(~even, number).alias("num_text"),
-        F.when(~even, apart).alias("num_y0"),
-        F.when(~even, 400.0 + ADVANCE * F.length(number)).alias("num_x1"),
-    )
+    entry = F.concat("para", F.lit(" . . . . . "), F.when(even, number).otherwise(""))
+    line = lambda no, t, x, y: F.struct(F.lit(no).alias("raw_no"), F.array(_span(t, F.lit("ABCDEF+SFRM1000"), 10.0, x, y, ADVANCE * F.length(t))).alias("spans"))
+    first = line(0, entry, F.lit(LEFT), F.lit(50.0))
+    return F.when(even, F.array(first)).otherwise(F.array(first, line(1, number, F.lit(400), apart)))
+
+
+def boxed(raws: Column) -> Column:
+    """Raw lines (raw_no, spans) with the box of their spans."""
+    low, high = (lambda c: lambda r: nested.least(r.spans, lambda s: s[c])), (lambda c: lambda r: nested.most(r.spans, lambda s: s[c]))
+    return F.transform(raws, lambda r: F.struct(r.raw_no.alias("raw_no"), r.spans.alias("spans"), low("x0")(r).alias("x0"), low("y0")(r).alias("y0"), high("x1")(r).alias("x1"), high("y1")(r).alias("y1")))
+
+
+@nested.once
+def _raws() -> Column:
+    return boxed(F.when(F.col("block_no") == -1, _contents()).otherwise(F.flatten(F.transform(F.sequence("begin", "stop"), _visual))))
+
+
+def blocks(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, block_no, raws) of ``docs`` (doc_id, text): the blocks of each page, raws in their order.
+
+    Block -1 is a document's contents entry. ``raws`` are structs (raw_no, spans, box); rows without id or text have none.
+    """
+    # the number is given: what a text becomes is fifty times its size, so that few bytes are no reason for fewer tasks
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").repartition(n, "doc_id")
+    head = F.array_join(F.filter(F.array(*(F.regexp_extract("text", f"^{BLANK}*({WORD}*){BLANK}*({WORD}*){BLANK}*({WORD}*)", k) for k in (1, 2, 3))), lambda t: t != ""), " ")
+    paras = known.select("doc_id", F.posexplode(F.concat(F.array(head), F.split("text", "\n"))).alias("place", "para"))
+    paras = paras.withColumn("block_no", F.col("place") - 1)
+    toks = paras.select("doc_id", "block_no", "para", F.when(F.col("block_no") >= 0, F.regexp_extract_all("para", F.lit(TOKEN), 0)).otherwise(F.array().cast("array<string>")).alias("toks"))
+    w = W.partitionBy("doc_id").orderBy("block_no").rowsBetween(W.unboundedPreceding, -1)
+    n = F.ceil(F.size("toks") / LINE_WORDS).cast("int")
+    rows = toks.withColumn("n", n).withColumn("first", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("int")).filter("n > 0 OR block_no = -1")
+    page = lambda line: F.floor(line / PAGE_LINES).cast("int")
+    pages = F.when(F.col("block_no") == -1, F.array(F.lit(0))).otherwise(F.sequence(page(F.col("first")), page(F.col("first") + F.col("n") - 1)))
+    rows = rows.withColumn("page_idx", F.explode(pages))
+    begin = F.greatest(F.lit(0), F.col("page_idx") * PAGE_LINES - F.col("first"))
+    stop = F.least(F.col("n") - 1, F.col("page_idx") * PAGE_LINES + PAGE_LINES - 1 - F.col("first"))
+    return rows.withColumns({"begin": begin, "stop": stop}).select("doc_id", "page_idx", "block_no", _raws().alias("raws"))
 
 
 def documents(spark, sf_dir: str) -> DataFrame:
@@ -102,5 +113,5 @@ def documents(spark, sf_dir: str) -> DataFrame:
 
 
 def lift(spark, sf_dir: str) -> DataFrame:
-    """``spans`` of a folder's documents."""
-    return spans(documents(spark, sf_dir))
+    """``blocks`` of a folder's documents."""
+    return blocks(documents(spark, sf_dir))

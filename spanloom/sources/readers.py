@@ -6,7 +6,6 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions import fonts
 from spanloom.operators.jobs import UPLOAD
 from spanloom.operators.translate import CACHE
 
@@ -37,14 +36,11 @@ def blocks(docs: DataFrame) -> DataFrame:
     return out.filter("block.type = 0")
 
 
-def raw_spans(docs: DataFrame) -> DataFrame:
-    """Positioned spans of nested documents, in the columns of the lift: a raw line is its own ``line_seq``."""
-    lines = blocks(docs).select("doc_id", "page_idx", "block_no", F.posexplode("block.lines").alias("line_seq", "line"))
-    s = lines.select("doc_id", "page_idx", "block_no", "line_seq", F.posexplode("line.spans").alias("span_no", "s"))
-    return s.select(
-        "doc_id", "page_idx", "block_no", "line_seq", "span_no", F.lit(0).alias("frag"), F.col("span_no").alias("wno"), F.lit(0).alias("first_wno"), fonts.is_text(F.col("s.font")).alias("is_text"),
-        "s.text", "s.font", "s.size", "s.bbox.x0", "s.bbox.y0", "s.bbox.x1", "s.bbox.y1", F.col("s.origin.y").alias("oy"),
-    )
+def blocks_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, block_no, raws): text blocks of nested documents, their raw lines in order with the parser's boxes."""
+    span = lambda s: F.struct(s.text.alias("text"), s.font.alias("font"), *(c.cast("double").alias(n) for c, n in ((s["size"], "size"), (s.bbox.x0, "x0"), (s.bbox.y0, "y0"), (s.bbox.x1, "x1"), (s.bbox.y1, "y1"), (s.origin.y, "oy"))))
+    line = lambda l, k: F.struct(k.alias("raw_no"), F.transform(l.spans, span).alias("spans"), l.bbox.x0.alias("x0"), l.bbox.y0.alias("y0"), l.bbox.x1.alias("x1"), l.bbox.y1.alias("y1"))
+    return blocks(docs).select("doc_id", "page_idx", "block_no", F.transform("block.lines", line).alias("raws"))
 
 
 def link_annotations(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from spanloom.operators.jobs import ACTIVE, TTL, UPLOAD, status_of
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-STATE = "status string, steps long, total long, created long"
+STATE = "status string, steps long, total long, created long, at long, seq long"
 CHANGED = "job_id long, status string, steps long, total long, expired boolean"
 
 
@@ -37,16 +37,20 @@ def states(events: DataFrame, late: str = "1 hour", ttl: int = TTL) -> DataFrame
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (job,) = key
         if state.hasTimedOut:
-            status, steps, total, _ = state.get
+            status, steps, total, *_ = state.get
             state.remove()
             yield pd.DataFrame({"job_id": [job], "status": [status], "steps": [steps], "total": [total], "expired": [True]})
             return
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        status, steps, total, created = state.get if state.exists else (None, 0, 0, int(rows["ts"].iloc[0].timestamp() * 1000))
-        steps, total = steps + int(rows["step"].sum()), total + len(rows)
-        status = rows["status"].iloc[-1]
-        state.update((status, steps, total, created))
-        state.setTimeoutTimestamp(max(created + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
+        rows = pd.concat(list(frames))
+        micros = [int(t.timestamp() * 1_000_000) for t in rows["ts"]]
+        status, steps, total, created, at, seq = state.get if state.exists else (None, 0, 0, min(micros), min(micros), -(2**63))
+        # the state is the newest row's, whatever order they come in; a job is as old as its oldest row
+        newest = max(zip(micros, rows["seq"], rows["status"], strict=True), key=lambda r: r[:2])
+        if newest[:2] >= (at, seq):
+            at, seq, status = int(newest[0]), int(newest[1]), newest[2]
+        steps, total, created = steps + int(rows["step"].sum()), total + len(rows), min(created, *micros)
+        state.update((status, steps, total, created, at, seq))
+        state.setTimeoutTimestamp(max(created // 1000 + 1000 * ttl, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [job], "status": [status], "steps": [steps], "total": [total], "expired": [False]})
 
     return e.groupBy("job_id").applyInPandasWithState(run, CHANGED, STATE, "update", GroupStateTimeout.EventTimeTimeout)

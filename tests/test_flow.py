@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import jobs, layout, links, translate
+from spanloom.operators import jobs, lines, links, translate
 from spanloom.plans.engine import Engine
 from spanloom.sources import lift, readers, sinks
 from spanloom.streaming import jobs as streams
@@ -42,11 +42,11 @@ def quiet(seconds):
 
 
 def test_engine_with_cache(spark, sf_dir, tmp_path):
-    docs = lift.documents(spark, sf_dir).filter("doc_id < 12")
-    spans = lift.raw_spans(docs)
+    blocks = lift.blocks(lift.documents(spark, sf_dir).filter("doc_id < 12"))
     path = str(tmp_path / "cache")
     e = Engine(spark, backend=shout, cache_path=path, send={"sleep": quiet})
-    first = {(r.doc_id, r.line_seq, r.part): r.translated for r in e.translations(spans).collect()}
+    key = lambda r: (r.doc_id, r.page_idx, r.block_no, r.line_no)
+    first = {key(r): r.translated for r in e.translations(blocks).collect()}
     kept = readers.cache(spark, path)
     n = kept.count()
     assert n and kept.select("key").distinct().count() == n
@@ -55,25 +55,45 @@ def test_engine_with_cache(spark, sf_dir, tmp_path):
         raise AssertionError("a full cache must not call")
 
     again = Engine(spark, backend=broken, cache_path=path, send={"sleep": quiet})
-    assert {(r.doc_id, r.line_seq, r.part): r.translated for r in again.translations(spans).collect()} == first
+    assert {key(r): r.translated for r in again.translations(blocks).collect()} == first
+    c = again.counters(blocks).first()
+    assert c.cached == c.groups and c.to_send == 0 and c.lines == len(first)
     other = Engine(spark, target="de", backend=shout, cache_path=path, send={"sleep": quiet})
-    other.translations(spans).count()
+    other.translations(blocks).count()
     assert readers.cache(spark, path).count() == 2 * n  # languages are part of the key
 
 
+def test_a_text_is_sent_once(spark, sf_dir, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(texts, source, target):
+        import uuid
+
+        for t in texts:
+            (calls / uuid.uuid4().hex).write_text(t)
+        return [t.upper() for t in texts]
+
+    blocks = lift.blocks(lift.documents(spark, sf_dir).filter("doc_id < 4"))
+    assert Engine(spark, backend=counting, send={"sleep": quiet}).layout(blocks).count()
+    sent = [f.read_text() for f in calls.iterdir()]
+    assert sent and len(sent) == len(set(sent))
+
+
 def test_layout_and_bytes(spark, sf_dir):
-    spans = lift.raw_spans(lift.documents(spark, sf_dir).filter("doc_id < 30"))
-    out = Engine(spark).layout(spans)
+    out = Engine(spark).layout(lift.blocks(lift.documents(spark, sf_dir).filter("doc_id < 30")))
     rows = out.collect()
-    assert rows and all(r.x >= 72 for r in rows)
+    assert rows and all(r.x >= 72 for r in rows) and {"text", "math"} <= {r.kind for r in rows}
     pdf = sinks.documents(out).first()["content"]
     assert bytes(pdf).startswith(b"%PDF-1.4") and bytes(pdf).rstrip().endswith(b"%%EOF")
 
 
 def test_pdf_bytes():
-    data = sinks.pdf_bytes([[(72.0, 80.0, 10.0, "a (b) é")], []])
-    body = data.split(b"stream\n")[1].split(b"\nendstream")[0]
-    assert b"a \\(b\\) \xe9" in zlib.decompress(body) and b"/Count 2" in data
+    data = sinks.pdf_bytes([[(72.0, 80.0, 10.0, "a (é) ∑漢a"), (72.0, 90.0, 10.0, "𝑓")], []])
+    unicode_map, body = (zlib.decompress(p.split(b"\nendstream")[0]) for p in data.split(b"stream\n")[1:6:2][:2])
+    codes = dict(line[1:].split(b"> <") for line in unicode_map.split(b"\n") if line.startswith(b"<") and b"> <" in line)
+    said = [b"".join(codes[t[k : k + 4]].rstrip(b">") for k in range(0, len(t), 4)) for t in (row.split(b"<")[1].split(b">")[0] for row in body.splitlines())]
+    assert [bytes.fromhex(t.decode()).decode("utf-16-be") for t in said] == ["a (é) ∑漢a", "𝑓"] and b"/Count 2" in data
 
 
 def test_nested_reader(spark, tmp_path):
@@ -85,7 +105,7 @@ def test_nested_reader(spark, tmp_path):
     f.write_text(json.dumps({"doc_id": 1, "pages": [page]}) + "\n")
     docs = readers.nested(spark, str(f))
     assert readers.blocks(docs).count() == 1
-    got = readers.raw_spans(docs).orderBy("span_no").collect()
+    got = lines.raw_spans(readers.blocks_of(docs)).orderBy("span_no").collect()
     assert [r.is_text for r in got] == [True, False] and got[0].oy == 8.0
     l = readers.link_annotations(docs)
     assert l.count() == 1 and links.colours(l).first()["g"] == 1.0
@@ -101,13 +121,17 @@ def test_engine_merges_raw_lines_of_parsed_pages(spark, tmp_path):
     page = {"width": 600.0, "height": 800.0, "blocks": [{"type": 0, "lines": b} for b in (first, second)], "links": []}
     f = tmp_path / "d.json"
     f.write_text(json.dumps({"doc_id": 1, "pages": [page]}) + "\n")
-    spans, e = readers.raw_spans(readers.nested(spark, str(f))), Engine(spark, backend=shout, send={"sleep": quiet})
-    got = {r.template: r for r in e.lines(spans).collect()}
+    blocks, e = readers.blocks_of(readers.nested(spark, str(f))), Engine(spark, backend=shout, send={"sleep": quiet})
+    got = {r.template: r for r in e.lines(blocks).collect()}
     assert set(got) == {"Soit la fonction {M0} continue", "Une autre ligne"}
-    assert len({r.line_seq for r in got.values()}) == 2  # lines of two blocks have keys of their own
-    groups = layout.math_groups(e.folded(spans)).filter(f"line_seq = {got['Soit la fonction {M0} continue'].line_seq}").orderBy("pos").collect()
-    assert [(r.run, r.text) for r in groups] == [(0, "d"), (0, "f")]
-    assert {r.piece.strip() for r in e.layout(spans).collect()} == {"SOIT LA FONCTION", "{M0}", "CONTINUE", "UNE AUTRE LIGNE"}
+    assert [[s.text for s in g] for g in got["Soit la fonction {M0} continue"].groups] == [["d", "f"]]
+    drawn = e.layout(blocks).collect()
+    assert {r.piece.strip() for r in drawn if r.kind == "text"} == {"SOIT LA FONCTION", "CONTINUE", "UNE AUTRE LIGNE"}
+    assert [r.piece for r in sorted(drawn, key=lambda r: (r.block_no, r.item_no)) if r.kind == "math"] == ["\U0001d451", "\U0001d453"]
+    box = {"doc_id": 1, "page_idx": 0, "link_idx": 0, "x0": 110.0, "y0": 100.0, "x1": 130.0, "y1": 110.0, "raw": "", "text": "CONTINUE"}
+    l = spark.createDataFrame([box], "doc_id long, page_idx int, link_idx int, x0 double, y0 double, x1 double, y1 double, raw string, text string")
+    # "SOIT LA FONCTION " is 17 half ems, a small letter over a large one 5 and the gap of a stack, a blank before the word 5
+    assert e.links(blocks, l, 800.0).first()["rect"] == "[%.3f %.3f %.3f %.3f]" % (72 + 85 + 6.5 + 5 - 0.5, 690, 72 + 85 + 6.5 + 5 + 40 + 0.5, 700)
 
 
 def test_caches(spark, tmp_path):
@@ -164,6 +188,32 @@ def test_stream_states(spark, sf_dir, tmp_path):
     assert {k: r.status for k, r in live.items()} == want
 
 
+def test_stream_states_of_late_rows(spark, tmp_path):
+    """A late row of a later batch counts as a step and dates the job back, but does not undo a newer state."""
+    t = "2024-01-01 00:{:02d}:00".format
+    rows = [[(1, t(5), 7, "signup"), (2, t(30), 7, "purchase")], [(3, t(10), 7, "click"), (4, t(1), 7, "view")]]
+    for k, part in enumerate(rows):
+        df = spark.createDataFrame(part, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "0D AS value", "'' AS props")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(streams.EVENTS).parquet(str(tmp_path / "in"))
+        seen = []
+        q = streams.states(stream, ttl=86_400).writeStream.foreachBatch(lambda df, n, seen=seen: seen.extend(df.collect())).outputMode("update")
+        run = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        assert run.exception() is None
+    last = [r for r in seen if not r.expired][-1]
+    assert (last.status, last.total, last.steps) == ("done", 4, 2)
+
+
+def test_admission_of_refused_submissions(spark):
+    """A refused submission never counts; an end of it frees nothing; old jobs leave when the next one asks."""
+    t = "2024-01-01 {:02d}:{:02d}:00".format
+    log = [(1, t(0, 0), 8, "signup"), (2, t(0, 1), 16, "signup"), (3, t(0, 2), 24, "signup"), (4, t(0, 3), 24, "purchase"), (5, t(0, 4), 32, "signup"), (6, t(0, 5), 8, "error"), (7, t(0, 6), 40, "signup"), (8, t(3, 0), 48, "signup")]
+    e = spark.createDataFrame(log, "event_id long, ts string, user_id long, event_type string").selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type")
+    got = {r.event_id: (r.n_active, r.admitted) for r in jobs.admission(e, ttl=3600).collect()}
+    assert got == {1: (0, True), 2: (1, True), 3: (2, False), 5: (2, False), 7: (1, True), 8: (0, True)}
+
+
 def test_landing_stream(spark, tmp_path):
     land = tmp_path / "land"
     land.mkdir()

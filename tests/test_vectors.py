@@ -1,6 +1,8 @@
 """Hand-derived vectors for expressions and folds."""
 
 import itertools
+import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -68,24 +70,112 @@ def test_shift_markers(spark):
     assert one(spark, lambda c: text.shift_markers(c, F.lit(2)), "a{M0} {M1}") == "a{M2} {M3}"
 
 
-def raw(x0, x1, y0=0.0, y1=10.0, has_text=True, cmex=False, n=itertools.count()):
-    return lines.Raw(next(n), x0, y0, x1, y1, y0, y1, has_text, cmex)
-
-
-def test_overlap_and_clusters():
-    assert lines.overlaps(raw(0, 1, 100, 110), raw(0, 1, 104, 114))
-    assert not lines.overlaps(raw(0, 1, 100, 110), raw(0, 1, 106, 116))
-    a, b, c = raw(0, 10), raw(17, 20), raw(28, 30)
-    assert [len(x) for x in lines.clusters_of([c, a, b])] == [2, 1]
-
-
-def test_merge_fold():
-    a, b, tall = raw(0, 10), raw(15, 30, has_text=False), raw(31, 35, -20, 40, False, True)
-    assert [[m.number for m in x] for x in lines.merged_order([a, b, tall])] == [[a.number, b.number, tall.number]]
-    left, right = raw(0, 100), raw(5, 90)
-    assert len(lines.merged_order([left, right])) == 2  # two texts at the margin stay apart
-    alone = raw(500, 510, -20, 40, False, True)
-    assert len(lines.group_by_y([raw(0, 10), alone])) == 2
+SPAN = "struct<text:string,font:string,size:double,x0:double,y0:double,x1:double,y1:double,oy:double>"
+BLOCKS = f"doc_id long, page_idx int, block_no int, raws array<struct<raw_no:int,spans:array<{SPAN}>,x0:double,y0:double,x1:double,y1:double>>"
+TEXT, MATH, TALL = "A+SFRM1000", "A+CMMI10", "A+CMEX10"
+
+
+def raw(no, *spans):
+    """A raw line of (text, font, x0, y0, x1, y1) spans, with the box around them."""
+    box = [f(s[k] for s in spans) for f, k in ((min, 2), (min, 3), (max, 4), (max, 5))]
+    return (no, [(t, f, 10.0, float(x0), float(y0), float(x1), float(y1), float(y1) - 2) for t, f, x0, y0, x1, y1 in spans], *map(float, box))
+
+
+def block(spark, *raws, doc=1):
+    return spark.createDataFrame([(doc, 0, 0, list(raws))], BLOCKS)
+
+
+def brute_fold(raws):
+    """(y-group, line) of every raw line, by the definitions, with plain lists."""
+    core = {}
+    for r in raws:
+        low = [s for s in r[1] if "CMEX" not in s[1]]
+        mean = sum(s[7] for s in r[1]) / len(r[1])
+        core[r[0]] = (min(s[4] for s in low), max(s[6] for s in low)) if low else (mean - 3, mean + 3)
+    tall = {r[0]: all("CMEX" in s[1] for s in r[1]) for r in raws}
+    words = {r[0]: any("+SF" in s[1] for s in r[1]) for r in raws}
+    box = {r[0]: r[2:] for r in raws}
+    groups = []
+    for no in [r[0] for r in raws if not tall[r[0]]]:
+        a, b = core[no]
+        for g in groups:
+            c, d = core[g[0]]
+            if min(b - a, d - c) > 0 and (min(b, d) - max(a, c)) / min(b - a, d - c) >= 0.5:
+                g.append(no)
+                break
+        else:
+            groups.append([no])
+    for no in [r[0] for r in raws if tall[r[0]]]:
+        gaps = [(min(abs(box[no][0] - box[m][2]), abs(box[m][0] - box[no][2])), k) for k, g in enumerate(groups) for m in g]
+        if gaps and min(gaps)[0] < 20:
+            groups[min(gaps)[1]].append(no)
+        else:
+            groups.append([no])
+    out, line = {}, 0
+    for k, g in enumerate(groups):
+        chain = sorted(g, key=lambda m: box[m][0])
+        parts = [[chain[0]]]
+        for before, m in itertools.pairwise(chain):
+            if box[m][0] - box[before][2] < 8:
+                parts[-1].append(m)
+            else:
+                parts.append([m])
+        for c in parts:
+            left = min(box[m][0] for m in c)
+            whole = 1 < len(c) <= 8 and any(words[m] for m in c) and sum(words[m] and box[m][0] < left + 15 for m in c) <= 1
+            for n, m in enumerate(c):
+                out[m] = (k, line if whole else line + n)
+            line += 1 if whole else len(c)
+    return out
+
+
+def test_fold_by_brute_force(spark):
+    rng, blocks = random.Random(3), []
+    for d in range(150):
+        raws = []
+        for no in range(rng.randint(1, 14)):
+            x, y, h = rng.choice([72, 75, 90, 140, 200, 260]) + rng.random() * 9, rng.choice([100, 101.3, 104, 107, 118]), rng.choice([5, 7, 10, 10, 24])
+            spans = [(rng.choice("abc") * rng.randint(1, 5), rng.choice([TEXT, TEXT, MATH, TALL]), x, y, x + rng.randint(3, 60), y + h)]
+            if rng.random() < 0.4:
+                spans.append(("z", rng.choice([TEXT, MATH, TALL]), spans[0][4] + 1, y - 2, spans[0][4] + 9, y + 8))
+            raws.append(raw(no, *spans))
+        blocks.append((d, 0, 0, raws))
+    got = {(r.doc_id, r.raw_no): (r.y_group, r.line_no) for r in lines.places(spark.createDataFrame(blocks, BLOCKS)).collect()}
+    assert got == {(d, no): v for d, _, _, raws in blocks for no, v in brute_fold(raws).items()}
+
+
+def test_overlap_and_clusters(spark):
+    two = lambda y: {r.raw_no: r.y_group for r in lines.places(block(spark, raw(0, ("a", TEXT, 0, 100, 1, 110)), raw(1, ("b", TEXT, 50, y, 51, y + 10)))).collect()}
+    assert two(104) == {0: 0, 1: 0} and two(106) == {0: 0, 1: 1}
+    v = lines.verdicts(block(spark, raw(0, ("c", TEXT, 28, 0, 30, 10)), raw(1, ("a", TEXT, 0, 0, 10, 10)), raw(2, ("b", MATH, 17, 0, 20, 10)))).collect()
+    assert [(r.raws, r.merged) for r in v] == [([1, 2], True), ([0], False)]
+
+
+def test_lines_at_any_height(spark):
+    """A visual line in three raw lines, far from any grid: one template, the mathematics in its place."""
+    b = block(spark, raw(0, ("Soit ", TEXT, 72, 101.3, 100, 111.3)), raw(1, ("x", MATH, 101, 100.1, 106, 110.1)), raw(2, ("une fonction", TEXT, 108, 101.3, 170, 111.3)))
+    assert [(r.template, r.n_math, r.x0, r.x1) for r in lines.lines(b).collect()] == [("Soit {M0}une fonction", 1, 72.0, 170.0)]
+
+
+def test_attached_one_after_the_other(spark):
+    """What was attached first moves the first mathematics, and with it who is near next; the last attached comes first."""
+    b = block(
+        spark, raw(0, ("Soit ", TEXT, 72, 100, 100, 110), ("f", MATH, 101, 100, 106, 110)), raw(1, ("a", MATH, 90, 88, 95, 93)), raw(2, ("b", MATH, 78, 94, 82, 99)), raw(3, ("c", MATH, 130, 90, 134, 95)),
+    )
+    assert {(r.line_no, r.to_line) for r in lines.attached(b).collect()} == {(1, 0), (3, 0)}
+    assert [[s.text for s in g] for g in lines.lines(b).first()["groups"]] == [["b", "a", "f"]]
+
+
+def test_contents_entries(spark):
+    entry = lambda y, *more: block(spark, raw(0, ("Intro . . . . . ", TEXT, 72, 50, 150, 60)), raw(1, ("12", TEXT, 400, y, 410, y + 10)), *more)
+    got = lambda b: [(r.template, r.toc_content, r.toc_page_num, r.x1) for r in lines.lines(b).collect()]
+    assert got(entry(50)) == got(entry(49)) == [("Intro . . . . . ", "Intro", "12", 410.0)]
+    assert got(entry(51)) == [("Intro . . . . . ", "Intro", "", 150.0)]
+    assert got(entry(50, raw(2, ("7", TEXT, 450, 50, 455, 60)))) == [("Intro . . . . . ", "Intro", "7", 455.0)]  # the last one counts
+    groups = paragraphs.merged(paragraphs.grouped(lines.lines(entry(50)))).collect()
+    assert [g.wire_text for g in groups] == ["Intro"]
+    d = layout.toc_leaders(lines.lines(entry(50))).first()
+    assert (d.dots_start, d.pn_x, d.n_dots) == (72 + 25 + 4, 400.0, 29)
 
 
 def test_split_vector():
@@ -110,42 +200,80 @@ def test_batches(spark):
     assert [got[1, k] for k in range(5)] == [0, 0, 0, 1, 2] and got[2, 0] == 0
 
 
-def test_fix_boundaries():
-    assert layout.fix_boundaries([("a[b", "regular"), ("cd] e", "bold")]) == [("a", "regular"), ("[bcd] e", "bold")]
-    assert layout.fix_boundaries([("I", "bold"), (".1. x", "regular")]) == [("I.1.", "bold"), (" x", "regular")]
-    assert layout.fix_boundaries([("ab", "bold"), ("{M0}", "math"), ("cd", "bold")]) == [("ab", "bold"), ("{M0}", "math"), ("cd", "bold")]
-    assert layout.fix_boundaries([("x", "bold")]) == [("x", "bold")]
-
-
-@given(st.lists(st.tuples(st.text("a[].1 ", min_size=1, max_size=6), st.sampled_from(["regular", "bold", "italic"])), max_size=6))
-@settings(max_examples=200, deadline=None)
-def test_fix_boundaries_keeps_text(pieces):
-    assert "".join(t for t, _ in layout.fix_boundaries(pieces)) == "".join(t for t, _ in pieces)
-
-
-GROUP = "doc_id long, line_seq int, part int, run long, pos int, text string, font string, size double, x0 double, y0 double, x1 double, y1 double, oy double"
+def brute_boundaries(pieces):
+    """Character by character: one style in each bracket, styles carried over labels, equal neighbours joined; placeholders part them."""
+    chars = [(c, s) for t, s in pieces if s != "math" for c in t]
+    styles, flat = [s for _, s in chars], "".join(c for c, _ in chars)
+    if len(chars) > 1:
+        for m in re.finditer(r"\[[^\]]*\]", flat):
+            inside = styles[m.start() : m.end()]
+            styles[m.start() : m.end()] = [max(dict.fromkeys(inside), key=inside.count)] * len(inside)
+        carried = False
+        for p in range(1, len(flat)):
+            carried = flat[p] in ".,;:0123456789" and (carried or styles[p] != styles[p - 1])
+            if carried:
+                styles[p] = styles[p - 1]
+    out, at = [], 0
+    for t, s in pieces:
+        if s == "math":
+            out.append([t, s])
+            continue
+        for c in t:
+            if out and out[-1][1] == styles[at]:
+                out[-1][0] += c
+            else:
+                out.append([c, styles[at]])
+            at += 1
+    return [tuple(p) for p in out]
+
+
+def boundaries(spark, many):
+    """``layout.bounded`` on lists of pieces, as lines of their own."""
+    rows = [(k, 0, 0, 0, [(0, 0, t, s) for t, s in pieces]) for k, pieces in enumerate(many)]
+    df = spark.createDataFrame(rows, "doc_id long, page_idx int, block_no int, line_no int, pieces array<struct<seg_no:int,run_idx:int,piece:string,style:string>>")
+    return [[(p.piece, p.style) for p in r.pieces] for r in layout.bounded(df).orderBy("doc_id").collect()]
+
+
+def test_boundaries_by_brute_force(spark):
+    rng = random.Random(5)
+    one = lambda: ("{M0}", "math") if rng.random() < 0.2 else ("".join(rng.choice("ab[]. 1,") for _ in range(rng.randint(1, 7))), rng.choice(["regular", "bold", "italic"]))
+    many = [[one() for _ in range(rng.randint(1, 6))] for _ in range(400)]
+    many += [[("a[b", "regular"), ("cd] e", "bold")], [("I", "bold"), (".1. x", "regular")], [("ab", "bold"), ("{M0}", "math"), ("cd", "bold")], [("x", "bold")]]
+    got = boundaries(spark, many)
+    assert got == [brute_boundaries(p) for p in many]
+    assert got[-4:] == [[("a", "regular"), ("[bcd] e", "bold")], [("I.1.", "bold"), (" x", "regular")], [("ab", "bold"), ("{M0}", "math"), ("cd", "bold")], [("x", "bold")]]
 
 
 def group(spark, *spans):
-    return spark.createDataFrame([(1, 0, 0, 0, k, *s) for k, s in enumerate(spans)], GROUP)
+    """A group of (text, font, size, x0, y0, x1, y1, oy) spans."""
+    return spark.createDataFrame([(1, 0, 0, 0, 0, list(spans))], f"doc_id long, page_idx int, block_no int, line_no int, run int, spans array<{SPAN}>")
 
 
 def test_stacked_and_bars(spark):
     two = [("a", "CMMI10", 7.0, 10.0, 90.0, 20.0, 100.0, 100.0), ("b", "CMMI10", 7.0, 10.0, 102.0, 20.0, 112.0, 110.0)]
     g = group(spark, *two)
     assert layout.stacked_pairs(g).count() == 1
-    assert layout.fraction_bars(g).first()["bar_y"] == 101.0
-    assert layout.group_widths(g).first()["width"] == 3.5 + 1.5
+    bar = layout.fraction_bars(g).first()
+    assert (bar.bar_y, bar.dx0, bar.dx1) == (101.0, 0.0, 3.5)
+    assert layout.placed_groups(g).first()["width"] == 3.5 + 1.5
     base = ("c", "CMMI10", 10.0, 0.0, 90.0, 9.0, 100.0, 100.0)
     assert layout.stacked_pairs(group(spark, *two, base)).count() == 0
 
 
 def test_attached(spark):
-    g = group(spark, ("C", "rsfs10", 10.0, 0.0, 0.0, 8.0, 10.0, 8.0), (" ", "CMR10", 10.0, 8.0, 0.0, 9.0, 10.0, 8.0), ("r", "CMMI7", 7.0, 9.0, 0.0, 12.0, 7.0, 6.0), ("x", "CMMI10", 10.0, 12.0, 0.0, 17.0, 10.0, 8.0), ("y", "CMMI7", 7.0, 8.0, 0.0, 17.0, 10.0, 8.0))
+    letter = ("C", "rsfs10", 10.0, 0.0, 0.0, 8.0, 10.0, 8.0)
+    more = [(" ", "CMR10", 10.0, 8.0, 0.0, 9.0, 10.0, 8.0), ("r", "CMMI7", 7.0, 9.0, -2.0, 12.0, 7.0, 6.0), ("x", "CMMI10", 10.0, 12.0, 0.0, 17.0, 10.0, 8.0), ("y", "CMMI7", 7.0, 8.0, 0.0, 17.0, 10.0, 8.0)]
+    g = group(spark, letter, *more)
     assert sorted(r.pos for r in layout.attached_scripts(g).collect()) == [1, 2]
-
-
-def test_toc_leaders(spark):
-    t = spark.createDataFrame([(1, "abcde", "12", 71.0, 500.0), (2, "a", "", 0.0, 10.0)], "doc_id long, content string, page string, x0 double, x1 double")
-    got = {r.doc_id: r for r in layout.toc_leaders(t).collect()}
-    assert (got[1].dots_start, got[1].pn_x, got[1].n_dots) == (100.0, 490.0, 38) and got[2].n_dots == 0
+    marks = {m.pos: m for m in layout.placed_groups(g).first()["marks"]}
+    assert sorted(marks) == [0, 3, 4] and (marks[0].route, marks[0].width, marks[3].dx) == ("copy", 12.0, 12.0)
+    assert tuple(marks[0].box) == (-1.5, -4.5, 13.5, 11.5)  # the letter and its script, padded
+
+
+def test_metrics(spark):
+    table = spark.createDataFrame([("regular", "a", 0.25), ("bold", "a", 0.75)], "style string, ch string, advance double")
+    m = layout.Metrics(table)
+    r = spark.createDataFrame([("aab",)], "t string").select(m.width(F.col("t"), F.lit(10.0)).alias("r"), m.width(F.col("t"), F.lit(10.0), "bold").alias("b"), layout.PLAIN.width(F.col("t"), F.lit(10.0)).alias("p")).first()
+    assert tuple(r) == (10.0, 20.0, 15.0)
+    with pytest.raises(ValueError, match="metrics"):
+        layout.Metrics(table, most=1)
