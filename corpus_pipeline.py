@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``documents``. The check tool and ``run`` write a stage's result as Parquet and read it again for the next.
+
+Null and empty texts are scored, kept if their score allows, linked with nothing, have no personal data and no tokens; repeated rows
+become one, rows that share an id stay apart if their texts differ; ties go to the least id; very long texts are worked on whole; an
+empty table gives an empty result; further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import chunked_bpe, gam, mixing, neardup, pii
-from spanloom.llm.common import shared_folder, table
+from spanloom.llm.common import remove, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out.drop("ids")
         out.write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:  # a stage's input goes when its result is written; the last stage's stays for who reads the result
+            remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
 
 
