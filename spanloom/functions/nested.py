@@ -66,10 +66,12 @@ def once(f: Callable[[], Column]) -> Callable[[], Column]:
         sc = SparkContext._active_spark_context
         if sc is None:  # a remote session
             return f()
-        if id(sc) not in made:
+        got = made.get(id(sc))
+        if got is None:  # two threads may both make it: either result serves
+            got = f()
             made.clear()
-            made[id(sc)] = f()
-        return made[id(sc)]
+            made[id(sc)] = got
+        return got
 
     return get
 

@@ -54,8 +54,11 @@ def call(backend: Backend, texts: list[str], source: str, target: str, sleep: Ca
     return texts, "failed"
 
 
-def send(texts: DataFrame, backend: Backend, source: str, target: str, limit: int = 4800, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``texts`` (key, text) through the backend, in batches of about ``limit`` characters a task; CACHE rows."""
+def send(texts: DataFrame, backend: Backend, source: str, target: str, limit: int = 4800, sleep: Callable[[float], None] = time.sleep, callers: int = 4, pause: float = PAUSE) -> DataFrame:
+    """``texts`` (key, text) through the backend, in batches of about ``limit`` characters; CACHE rows.
+
+    ``callers`` tasks call, whatever the size of ``texts``; each waits ``callers * pause`` after a batch, so that all together send one batch a ``pause``.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[str, str]] = []
@@ -63,7 +66,7 @@ def send(texts: DataFrame, backend: Backend, source: str, target: str, limit: in
 
         def flush() -> pd.DataFrame:
             got, status = call(backend, [t for _, t in held], source, target, sleep)
-            sleep(PAUSE)
+            sleep(pause * callers)
             return pd.DataFrame({"key": [k for k, _ in held], "source": source, "target": target, "raw": got, "status": status})
 
         for pdf in frames:
@@ -76,7 +79,7 @@ def send(texts: DataFrame, backend: Backend, source: str, target: str, limit: in
         if held:
             yield flush()
 
-    return texts.select("key", "text").mapInPandas(run, CACHE)
+    return texts.select("key", "text").repartition(callers).mapInPandas(run, CACHE)
 
 
 def probe(paragraphs: DataFrame, cache: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:

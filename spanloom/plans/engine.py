@@ -26,7 +26,7 @@ class Engine:
     metrics: layout.Metrics = layout.PLAIN
     send: dict = field(default_factory=dict)
 
-    def _cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame) -> DataFrame:
         """``df`` written to the shared folder and read again: several steps use it, and a fold or a service's call is not repeated."""
         sc = self.spark.sparkContext
         if sc.getCheckpointDir() is None:
@@ -52,12 +52,12 @@ class Engine:
             sinks.save_cache(fresh, self.cache_path)
             kept = readers.cache(self.spark, self.cache_path)
         else:
-            kept = self._cut(fresh).filter("status = 'ok'")
+            kept = self.cut(fresh).filter("status = 'ok'")
         return keyed.join(kept.select("key", "raw"), "key", "left").withColumn("raw", F.coalesce("raw", "wire_text"))
 
     def translations(self, blocks: DataFrame) -> DataFrame:
         """Lines with their translation."""
-        own = self._cut(self.lines(blocks).drop("spans"))
+        own = self.cut(self.lines(blocks).drop("spans"))
         grouped = paragraphs.grouped(own)
         done = self.raw(paragraphs.merged(grouped)).select("doc_id", "group_id", text.unmask(F.col("raw")).alias("translated"))
         return grouped.join(paragraphs.split_back(grouped, done).drop("seq"), list(KEY))
@@ -65,16 +65,20 @@ class Engine:
     def changed(self, blocks: DataFrame) -> DataFrame:
         """Lines that the translation changes, with their styled pieces."""
         done = self.translations(blocks).filter(text.strip(F.col("translated")) != text.strip(lines.group_text()))
-        return self._cut(layout.mapped(done))
+        return self.cut(layout.mapped(done))
 
     def layout(self, blocks: DataFrame) -> DataFrame:
         """All that is drawn for the changed lines, see ``layout.rendered``."""
-        return layout.rendered(self.changed(blocks), self.metrics)
+        return self.drawn(self.changed(blocks))
+
+    def drawn(self, changed: DataFrame) -> DataFrame:
+        """``layout`` of lines from ``changed``."""
+        return layout.rendered(changed, self.metrics)
 
     def links(self, blocks: DataFrame, annotations: DataFrame, height: float) -> DataFrame:
         """New rectangles of link annotations (doc_id, page_idx, link_idx, box, raw, text): by search in what is drawn, by their line's extent otherwise."""
         own = self.changed(blocks)
-        items = self._cut(layout.rendered(own, self.metrics))
+        items = self.cut(self.drawn(own))
         wanted = annotations.filter(F.length("text") <= links.SEARCH_CHARS)
         return links.repositioned(annotations, layout.extents(own, items), layout.phrases(items, wanted, self.metrics), height)
 

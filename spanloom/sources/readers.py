@@ -12,9 +12,10 @@ from spanloom.operators.translate import CACHE
 #: Nested pages as a parser of typeset files gives them.
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 SPAN = f"struct<text:string,font:string,size:double,bbox:{BOX},origin:struct<x:double,y:double>>"
-NESTED = f"""doc_id long, pages array<struct<width:double,height:double,
+PAGES = f"""array<struct<width:double,height:double,
 blocks:array<struct<type:int,lines:array<struct<bbox:{BOX},spans:array<{SPAN}>>>>>,
 links:array<struct<xref:int,bbox:{BOX},raw:string>>>>"""
+NESTED = f"doc_id long, pages {PAGES}"
 METRICS = "style string, ch string, advance double"
 
 

@@ -67,14 +67,14 @@ def pdf_bytes(pages: list[list[tuple[float, float, float, str]]], width: float =
     return bytes(out)
 
 
-def documents(layout: DataFrame) -> DataFrame:
-    """(doc_id, content): each document's layout rows (doc_id, page_idx, x, y, size, piece) as PDF bytes; bars and copied glyphs are left out. A document is one group."""
+def documents(layout: DataFrame, width: float = 612.0, height: float = 792.0) -> DataFrame:
+    """(doc_id, content): each document's layout rows (doc_id, page_idx, x, y, size, piece) as PDF bytes, on pages of one size; bars and copied glyphs are left out. A document is one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pages: list[list[tuple[float, float, float, str]]] = [[] for _ in range(int(pdf["page_idx"].max()) + 1)]
         for r in pdf.sort_values(["page_idx", "y", "x"]).itertuples():
             pages[r.page_idx].append((r.x, r.y, r.size_, r.piece))
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [pdf_bytes(pages)]})
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "content": [pdf_bytes(pages, width, height)]})
 
     rows = layout.filter(F.col("piece") != "").filter("kind <> 'copy'").select("doc_id", "page_idx", "x", "y", F.col("size").alias("size_"), "piece")
     return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, content binary")
